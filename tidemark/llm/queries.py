@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op5_byte_bpe
+from tidemark.llm.neardup import op9_lsh_forest
+from tidemark.llm.packing import op3_best_two_fit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op3_best_two_fit": op3_best_two_fit,
     "op5_byte_bpe": op5_byte_bpe,
+    "op9_lsh_forest": op9_lsh_forest,
 }
 
 ORACLE: dict[str, str] = {}
