@@ -10,7 +10,7 @@ find their place from their rank among the pieces of their length.
 from __future__ import annotations
 
 import bisect
-import zlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +28,23 @@ CACHE_ENTRIES = 400_000
 SALTS = 128
 
 
+#: Signs that end a word: after a letter or digit and before white space they are one match of the
+#: vocabulary's pattern (an apostrophe may begin another one), so they may stand apart.
+SIGNS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)(?=[ \t-\r]|\Z)")
+
+#: A full stop or comma that ends a word and may belong to a longer run of signs, or follows a byte that may be no letter.
+DOUBTFUL = re.compile(rb"[!-/:-@\[-`{-~\x80-\xff][.,][ \n]")
+
+
+def _apart(text: bytes) -> bytes:
+    """The text with signs at the ends of words set apart, where that leaves the pattern's matches as they are."""
+    if DOUBTFUL.search(text):
+        return SIGNS.sub(rb" \1", text)
+    for end in (b", ", b". ", b".\n"):
+        text = text.replace(end, b" " + end)
+    return text
+
+
 class WordEncoder:
     """Ids of a text by the tokenizers library, one encoding for each distinct word.
 
@@ -44,20 +61,20 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        """Encode the words that are new, many in one call."""
+        """Encode the words that are new, many in one call.  Words that were met since the last turn of the cache stay."""
         fresh = set().union(*texts).difference(self.cache)
-        if len(self.cache) + len(fresh) > CACHE_ENTRIES:
-            self.cache.clear()
+        if len(self.cache) + len(fresh) > CACHE_ENTRIES // 2:
+            self.older, self.cache = self.cache, {}
             fresh = set().union(*texts)
-        # A full stop or comma after one ASCII letter or digit is a match of its own.
-        ended = {w for w in fresh if len(w) > 1 and w[-1:] in b".," and w[-2:-1].isalnum()}
-        bare = (fresh - ended | {w[:-1] for w in ended} | {b".", b","}).difference(self.cache)
+        known = fresh & self.older.keys()
+        self.cache.update((w, self.older[w]) for w in known)
         plain, rest = [], []
-        for w in bare:
+        for w in fresh - known:
             word = w.decode()
-            (plain if word.isalpha() and word == word.lower() else rest).append(w)
+            (plain if word.isalpha() and (word.isascii() or word == word.lower()) else rest).append(w)
         # A word of letters is one match, whose last token ends a word: a whole line of them is encoded at once.
         for lo in range(0, len(plain), 2000):
             some = plain[lo : lo + 2000]
@@ -66,13 +83,12 @@ class WordEncoder:
             self.cache.update(zip(some, (raw[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)), strict=True))
         found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
         self.cache.update(zip(rest, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
-        for w in ended:
-            self.cache[w] = self.cache[w[:-1]] + self.cache[w[-1:]]
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.lower().split() for t in texts]
+        words = [_apart(t.lower()).split() for t in texts]
         self.learn(words)
-        return [b"".join(map(self.cache.__getitem__, x)) for x in words]
+        get = self.cache.__getitem__
+        return [b"".join(map(get, x)) for x in words]
 
 
 def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
