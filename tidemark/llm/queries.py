@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op5_byte_bpe
+from tidemark.llm.linededup import op8_line_runs
 from tidemark.llm.neardup import op9_lsh_forest
 from tidemark.llm.packing import op3_best_two_fit
 from tidemark.llm.pii import op1_disclosure
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ngram_ratio": op6_ngram_ratio,
     "op7_string_kernel": op7_string_kernel,
+    "op8_line_runs": op8_line_runs,
     "op9_lsh_forest": op9_lsh_forest,
 }
 
