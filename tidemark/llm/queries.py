@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op5_byte_bpe
+from tidemark.llm.extraction import op4_template_slots
 from tidemark.llm.linededup import op8_line_runs
 from tidemark.llm.neardup import op9_lsh_forest
 from tidemark.llm.packing import op3_best_two_fit
@@ -21,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op1_disclosure": op1_disclosure,
     "op2_latent_neighbours": op2_latent_neighbours,
     "op3_best_two_fit": op3_best_two_fit,
+    "op4_template_slots": op4_template_slots,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ngram_ratio": op6_ngram_ratio,
     "op7_string_kernel": op7_string_kernel,
