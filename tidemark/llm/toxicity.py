@@ -60,6 +60,9 @@ def _norms(words: list[str]) -> np.ndarray:
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
+    """Normalised kernel of every word with every landmark, 40 landmarks at a time."""
+    if len(landmarks) > 40:
+        return np.hstack([kernel(words, landmarks[lo : lo + 40]) for lo in range(0, len(landmarks), 40)])
     weights = np.zeros((1 << 18, len(landmarks)), np.float32)
     for owner, code, w in _subsequences(landmarks):
         np.add.at(weights, (code, owner), w)
