@@ -10,7 +10,7 @@ their neighbours.  The window doubles until they do.  Decoding joins bytes, whic
 from __future__ import annotations
 
 import base64
-import hashlib
+import functools
 import heapq
 import re
 from collections.abc import Iterator
@@ -151,7 +151,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@functools.lru_cache(1)
 def _encoder(vocabulary: str, pattern: str) -> TreeEncoder:
+    """One encoder for all tasks of a Python worker, with the pieces it has met."""
     import public_tokenizers
 
     return TreeEncoder(load_ranks(public_tokenizers.path(vocabulary)), pattern or public_tokenizers.PATTERN)

@@ -10,6 +10,7 @@ find their place from their rank among the pieces of their length.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -91,6 +92,14 @@ class WordEncoder:
         return [b"".join(map(get, x)) for x in words]
 
 
+@functools.lru_cache(1)
+def _encoder(vocabulary: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker, with the words it has met."""
+    import public_tokenizers
+
+    return WordEncoder(public_tokenizers.path(vocabulary))
+
+
 def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit).
 
@@ -100,9 +109,7 @@ def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", max_len: int = M
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        own = WordEncoder(public_tokenizers.path(vocabulary))
+        own = _encoder(vocabulary)
         for batch in batches:
             keys = batch.column(0).to_pylist()
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
