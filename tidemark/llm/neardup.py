@@ -12,6 +12,7 @@ Exact copies are one class from the start.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,12 @@ class _Words(dict):
         return found
 
 
+@functools.lru_cache(1)
+def _words() -> _Words:
+    """Hashes of the words that a Python worker has met."""
+    return _Words()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -79,7 +86,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        words = _Words()
+        words = _words()
         for batch in batches:
             n, keys, sigs = [], [], []
             for x in batch.column(1).to_pylist():
@@ -162,7 +169,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
@@ -205,14 +212,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(spark, "neardup")
     own = scratch.save("own", _sets(docs, width))
     classes = scratch.save("classes", own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+    keys = scratch.save("keys", own.select("doc_id", "n_shingles", "key"))
+    scratch.drop("own")
     pairs = candidates(classes, scratch)
     sig = classes.select("rep", "signature")
-    close = pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("x")), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("y")), "b")
+    close = pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("x")).hint("merge"), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("y")).hint("merge"), "b")
     close = scratch.save("close", _agreement(close.select("a", "b", "x", "y")))
-    scratch.drop("neighbours")
+    reps = scratch.save("reps", classes.select("key", "rep"))
+    scratch.drop("neighbours", "classes")
 
     needed = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = scratch.save("sets", _full_sets(texts, width))
 
     left, links = close, None
@@ -236,15 +246,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if left.isEmpty():
             break
     scratch.drop("sets", "close")
-    by_key = scratch.save("by_key", classes.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root")))
-    out = own.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
+    by_key = scratch.save("by_key", reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root")))
+    out = keys.join(by_key, "key", "left")
     root = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", root.alias("component_id"), (root == F.col("doc_id")).alias("kept"))
 
 
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = _words()
         for batch in batches:
             out = [shingles(x, words, width).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["rep", "shingles"])

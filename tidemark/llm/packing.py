@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ SALTS = 128
 SIGNS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))([!-&(-/:-@\[-`{-~]+)(?=[ \t-\r]|\Z)")
 
 #: A full stop or comma that ends a word and may belong to a longer run of signs, or follows a byte that may be no letter.
-DOUBTFUL = re.compile(rb"[!-/:-@\[-`{-~\x80-\xff][.,][ \n]")
+DOUBTFUL = re.compile(rb"[.,](?<![a-z0-9][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,])[ \n]")
 
 
 def _apart(text: bytes) -> bytes:
@@ -97,6 +98,7 @@ def _encoder(vocabulary: str) -> WordEncoder:
     """One encoder for all tasks of a Python worker, with the words it has met."""
     import public_tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
     return WordEncoder(public_tokenizers.path(vocabulary))
 
 
@@ -112,7 +114,7 @@ def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", max_len: int = M
         own = _encoder(vocabulary)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
+            texts = [x or b"" for x in batch.column(1).to_pylist()]
             for lo in range(0, len(texts), 500):
                 rows = []
                 for key, ids in zip(keys[lo : lo + 500], own.encode_all(texts[lo : lo + 500]), strict=True):
@@ -122,7 +124,7 @@ def cut(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", max_len: int = M
                 yield pa.record_batch([pa.array(key, batch.schema.field(0).type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "piece", "start", "length", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
+    return docs.select(docs["doc_id"], docs["text"].cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 
 
 def best_two(lengths: list[int], left: Counter, gap: int, more_than: int) -> tuple[int, int] | None:

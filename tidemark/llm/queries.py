@@ -14,6 +14,7 @@ from tidemark.llm.packing import op3_best_two_fit
 from tidemark.llm.pii import op1_disclosure
 from tidemark.llm.quality import op2_latent_neighbours
 from tidemark.llm.rules import op6_ngram_ratio
+from tidemark.llm.search import op10_block_max_wand
 from tidemark.llm.toxicity import op7_string_kernel
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op7_string_kernel": op7_string_kernel,
     "op8_line_runs": op8_line_runs,
     "op9_lsh_forest": op9_lsh_forest,
+    "op10_block_max_wand": op10_block_max_wand,
 }
 
 ORACLE: dict[str, str] = {}

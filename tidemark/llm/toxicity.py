@@ -229,18 +229,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, sizes: dic
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id and score of every row.  Null and empty texts get the score of a text without toxic words.
+    """docs (text and any other columns) with score; a column of that name is replaced.
 
-    No shuffle; the broadcast model has a fixed size.  Without a model (no labels of one class) the
-    score is 0.  Repeated rows are scored alike; extra columns are ignored.
+    Null and empty texts get the score of a text without toxic words.  No shuffle; the broadcast
+    model has a fixed size.  Without a model (no labels of one class) the score is 0.  Repeated rows
+    are scored alike.
     """
+    docs = docs.drop("score")
     known = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = known.value, {}
         for batch in batches:
             worst = np.zeros((0, 3))
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(at).to_pylist()
             for lo in range(0, len(texts) if own else 0, 300):
                 words = [words_of(t) for t in texts[lo : lo + 300]]
                 fresh = set().union(*words).difference(cache)
@@ -253,10 +256,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 cache.update((w, margin[b]) for w, b in short.items())
                 worst = np.vstack([worst, *(top_three(np.fromiter(map(cache.__getitem__, w), float, len(w)), own.bias) for w in words)])
             p = own.probability(worst) if own else np.zeros(len(texts))
-            yield pa.record_batch([batch.column(0), pa.array(np.round(p, 6), pa.float64())], ["doc_id", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(np.round(p, 6), pa.float64())], [*batch.schema.names, "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(docs["doc_id"], docs["text"]).mapInArrow(run, f"doc_id {kind}, score double")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{shape}, score double")
 
 
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
@@ -269,6 +272,6 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = score(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    out = score(docs.select("doc_id", "text"), fitted(docs, table(spark, sf_dir, "labels")))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
