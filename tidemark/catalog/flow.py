@@ -114,7 +114,7 @@ def a12(spark, d):
     return K.reduce_log(event_log(spark, d))
 
 
-@query("a13_text_ingest", "SELECT user_id AS caller, event_id AS callee, CAST(epoch(ts) AS BIGINT) AS at, CAST(event_id % 2 + 1 AS INTEGER) AS event FROM events")
+@query("a13_text_ingest", "SELECT user_id AS caller, event_id AS callee, CAST(floor(epoch(ts)) AS BIGINT) AS at, CAST(event_id % 2 + 1 AS INTEGER) AS event FROM events")
 def a13(spark, d):
     lines = t(spark, d, "events").select(F.concat_ws(" ", "user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"), (F.col("event_id") % 2 + 1).cast("string")).alias("line"))
     return R.read_text_records(lines, "line", "caller bigint, callee bigint, at bigint, event int")
