@@ -18,32 +18,42 @@ from tidemark.llm.common import Scratch, table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _apart(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """operator's rows with the columns of docs; their names are out of its way meanwhile, so none can clash."""
+    plain = {c: c if c in ("doc_id", "text") else f"column_{n}" for n, c in enumerate(docs.columns)}
+    out = operator(docs.select(*(F.col(f"`{c}`").alias(p) for c, p in plain.items())))
+    return out.select(*(F.col(p).alias(c) for c, p in plain.items()))
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays under the threshold; the model learns from the labelled ones among them."""
-    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    model = toxicity.fitted(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return _apart(docs, lambda own: toxicity.score(own, model).where(F.col("score") < toxicity.THRESHOLD))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those of which no word is left go."""
-    out = linededup.delete_lines(docs)
-    bare = (F.size("removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return _counted(out.where(~F.coalesce(bare, F.lit(False))).select(*docs.columns))
+
+    def keep(own: DataFrame) -> DataFrame:
+        bare = (F.size("removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+        return linededup.delete_lines(own).where(~F.coalesce(bare, F.lit(False)))
+
+    return _counted(_apart(docs, keep))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates (five-word shingles, similarity 0.8 or more): the smallest doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
+    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
     return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data and the terms that disclose it masked."""
-    return _counted(pii.sanitise(docs).select(*docs.columns))
+    return _counted(_apart(docs, pii.sanitise))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,8 +170,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     generalised, 5 a term removed) and base (the first four kinds).  Positions are code points of the text as it was.
 
     A null text holds nothing and stays null.  Rows that repeat a doc_id count as documents of their
-    own, but share the terms found in either.  Columns named spans or base are replaced.  An empty
-    table gives an empty result.
+    own, but share the terms found in either.  Columns named spans or base are replaced,
+    and _text, _base and _extra dropped.  An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     plain = docs.drop("spans", "base", "_text", "_base", "_extra")
