@@ -144,8 +144,10 @@ def _logistic(s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 def fit(texts: list[str], toxic: list[int]) -> Model | None:
     """None if one of the classes is missing."""
-    bags = [{b for w in words_of(t) if (b := bare(w))} for t in texts]
-    own = sorted({frozenset(b) for b, y in zip(bags, toxic, strict=True) if y}, key=sorted)
+    # One object for each word, and sorted tuples: sets of strings would take a hundred times the texts.
+    known: dict[str, str] = {}
+    bags = [tuple(sorted({known.setdefault(b, b) for w in words_of(t) if (b := bare(w))})) for t in texts]
+    own = sorted({b for b, y in zip(bags, toxic, strict=True) if y})
     clean = [b for b, y in zip(bags, toxic, strict=True) if not y]
     if not own or not clean:
         return None
@@ -178,7 +180,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
         return None
     # The clean words most like them, and words at large.
     pool = sorted(seen, key=lambda w: hash_of(w))[:40000]
-    close = np.concatenate([kernel(pool[lo : lo + 4000], bad[:48]).max(axis=1) for lo in range(0, len(pool), 4000)])
+    close = np.concatenate([kernel(pool[lo : lo + 2000], bad[:48]).max(axis=1) for lo in range(0, len(pool), 2000)])
     order = np.argsort(-close, kind="stable")
     hard = [pool[i] for i in order[:4000]]
     rest = [pool[i] for i in order[4000:][:: max(1, (len(pool) - 4000) // 3000)]]
@@ -197,8 +199,11 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
     for owner, code, c in _subsequences(marks):
         np.add.at(weights, code, c * beta[owner])
     model = Model(weights, bias, np.ones(3), 0.0)
-    vocabulary = sorted(set().union(*bags) | {""})
-    margin = dict(zip(vocabulary, model.margins(vocabulary).tolist(), strict=True))
+    vocabulary = sorted({*known, ""})
+    margin: dict[str, float] = {}
+    for lo in range(0, len(vocabulary), 10000):
+        part = vocabulary[lo : lo + 10000]
+        margin.update(zip(part, model.margins(part).tolist(), strict=True))
     worst = np.array([top_three(np.array([margin[bare(w)] for w in words_of(t)]), bias) for t in texts])
     model.slope, model.offset = _logistic(worst, np.array(toxic))
     return model
