@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -207,6 +208,23 @@ def test_op9(spark, odd, where):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == {i: (len(own[i]), root(i), root(i) == i) for i in own}
 
 
+def test_op9_hub(spark):
+    """Edited copies that are like their base and not like each other: every one must be found."""
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2001):
+        own = list(base)
+        for n, k in enumerate(rnd.sample(range(2, 78), 8)):
+            own[5 * k] = f"x{i}_{n}"
+        rows.append((i, " ".join(own)))
+    sets = [sets_of(t, 4) for _, t in rows]
+    alike = [len(s & sets[0]) / len(s | sets[0]) for s in sets]
+    assert min(alike) >= 0.8 and len(sets[1] & sets[2]) / len(sets[1] | sets[2]) < 0.8
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 for i, _ in rows}
+
+
 def test_op10(spark, odd):
     path, rows = odd
     docs = spark.read.parquet(f"{path}/documents.parquet")

@@ -7,7 +7,10 @@ hashes.  In sparse regions that is every row with the same short prefix; in crow
 neighbours are those that agree deepest, so depth adapts to the region and candidates stay
 linear.  Candidates are compared by all their min-hashes, then confirmed on full sets, best pairs
 first and then whatever still joins two components, and links become components by star contraction.
-Exact copies are one class from the start.
+Runs of one short prefix that are longer than REACH reaches (crowds) and still hold more than one
+component are then compared on full sets, every row with every row of another component: blocks of
+rows meet in pairs, each pair of blocks in one task, and blocks of one component are not compared with
+each other.  Exact copies are one class from the start.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ TREES, DEPTH, LEAST_DEPTH, REACH = 20, 5, 3, 4
 #: A pair is confirmed on full sets if at least this share of its min-hashes agrees; for a
 #: similarity of 0.8 over 100 hashes this is 5 standard deviations below the mean.
 LEAST_AGREEMENT = 0.6
+#: Rows of a crowd in a block, about; columns of a block's incidence matrix at a time.
+CROWD_BLOCK, CROWD_COLUMNS = 512, 4096
+#: Trees whose crowds are compared in one round: what early ones join, later ones need not compare.
+ROUNDS = ((0, 1), (1, 4), (4, TREES))
 CACHE_ENTRIES = 400_000
 PREFIX = 1 + 4 * LEAST_DEPTH
 
@@ -172,6 +179,98 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def crowds(classes: DataFrame) -> DataFrame:
+    """tree, bucket (tree and short prefix) and rep of the rows in runs that REACH does not cover."""
+    width = 4 * DEPTH
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    bucket = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(signature, tree * {width} + 1, {PREFIX - 1})")).alias("bucket")
+    rows = classes.select("rep", "signature", tree).select("tree", bucket, "rep")
+    large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > REACH + 1).select("bucket")
+    return rows.join(large.hint("merge"), "bucket").select("tree", "bucket", "rep")
+
+
+def _meetings(members: DataFrame) -> DataFrame:
+    """meeting (id of a pair of blocks), side, rep and root of crowd members (bucket, rep, root).
+
+    A component of CROWD_BLOCK rows or more in a bucket has blocks of its own; the others share
+    blocks.  Every two blocks of a bucket meet, and each shared block meets itself; blocks of the same
+    component do not.
+    """
+    own = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).withColumn("shared", F.col("n") < CROWD_BLOCK)
+    own = own.withColumn("part", F.when(F.col("shared"), 0).otherwise(F.col("root")))
+    sizes = own.groupBy("bucket", "shared", "part").agg(F.ceil(F.sum("n") / CROWD_BLOCK).cast("int").alias("blocks"), F.count("*").alias("roots"))
+    each = sizes.select("bucket", "shared", "part", "roots", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    x, y = (each.select("bucket", F.struct("shared", "part", "k").alias(s), F.col("roots").alias(f"roots_{s}")) for s in "xy")
+    one = (F.col("x.shared") == F.col("y.shared")) & (F.col("x.part") == F.col("y.part"))
+    met = x.join(y, "bucket").where((F.col("x") <= F.col("y")) & (~one | (F.col("x.shared") & (F.col("roots_x") > 1))))
+    here, there, itself = (F.struct(F.lit(n).alias("side"), F.col(s).alias("block")) for n, s in ((0, "x"), (1, "y"), (2, "x")))
+    sides = F.when(F.col("x") == F.col("y"), F.array(itself)).otherwise(F.array(here, there))
+    places = met.select("bucket", F.xxhash64("bucket", "x", "y").alias("meeting"), F.explode(sides).alias("s")).select("bucket", "meeting", "s.side", "s.block.*")
+    placed = members.join(own.select("bucket", "root", "shared", "part").hint("merge"), ["bucket", "root"]).join(sizes.drop("roots").hint("merge"), ["bucket", "shared", "part"])
+    placed = placed.withColumn("k", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    return placed.join(places.hint("merge"), ["bucket", "shared", "part", "k"]).select("meeting", "side", "rep", "root")
+
+
+def _forest(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join what the similar pairs of other sides (side 2: of the block itself) and other roots join."""
+    n, sizes = len(ids), np.array([len(s) for s in sets])
+    x, y = (np.flatnonzero(sides != other) for other in (1, 0))
+    if not len(x) or not len(y):
+        return []
+    token, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.where(shared, np.cumsum(shared) - 1, -1)[column]
+    row = np.repeat(np.arange(n), sizes)
+    row, place = row[place >= 0], place[place >= 0]
+    by = np.argsort(place, kind="stable")
+    row, place = row[by], place[by]
+    both = np.zeros((len(x), len(y)), np.float64)
+    for lo in range(0, int(shared.sum()), CROWD_COLUMNS):
+        a, b = np.searchsorted(place, (lo, lo + CROWD_COLUMNS))
+        held = np.zeros((n, CROWD_COLUMNS), np.float32)
+        held[row[a:b], place[a:b] - lo] = 1
+        both += held[x] @ held[y].T
+    near = np.zeros((n, n), bool)
+    near[np.ix_(x, y)] = (100 * both >= percent * (sizes[x][:, None] + sizes[y][None, :] - both)) & (roots[x][:, None] != roots[y][None, :])
+    near |= near.T
+    out, new = [], np.ones(n, bool)
+    for start in np.flatnonzero(near.any(axis=1)):
+        todo = [start] if new[start] else []
+        new[start] = False
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(near[i] & new):
+                new[j] = False
+                out.append((int(ids[i]), int(ids[j])))
+                todo.append(j)
+    return out
+
+
+def _crowd_links(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found in meetings (meeting, side, rep, root)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def links() -> pa.RecordBatch:
+            ids, roots, sides = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 1))
+            found = _forest(ids, roots, sides, [np.frombuffer(r[4], np.uint64) for r in rows], percent)
+            return pa.record_batch([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and rows[0][0] != r[0]:
+                    yield links()
+                    rows.clear()
+                rows.append(r)
+        if rows:
+            yield links()
+
+    dealt = meetings.join(sets.hint("merge"), "rep").select("meeting", "side", "rep", "root", "shingles")
+    dealt = dealt.repartition(partitions(meetings.sparkSession), "meeting").sortWithinPartitions("meeting")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """node, root for every node of links (a, b): root is the smallest node reachable.
 
@@ -219,11 +318,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     close = pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("x")).hint("merge"), "a").join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("y")).hint("merge"), "b")
     close = scratch.save("close", _agreement(close.select("a", "b", "x", "y")))
     reps = scratch.save("reps", classes.select("key", "rep"))
+    crowded = scratch.save("crowded", crowds(classes))
     scratch.drop("neighbours", "classes")
 
     needed = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.save("sets", _full_sets(texts, width))
+    sets = scratch.save("sets", _full_sets(_texts(docs, needed), width))
 
     left, links = close, None
     for step in ("best", "next", "rest"):
@@ -246,12 +345,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if left.isEmpty():
             break
     scratch.drop("sets", "close")
+    sets = None
+    for lo, hi in ROUNDS:
+        members = crowded.where(F.col("tree").between(lo, hi - 1)).join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+        several = members.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+        members = scratch.save(f"members-{lo}", members.join(several.hint("merge"), "bucket").select("bucket", "rep", "root"))
+        if members.isEmpty():
+            continue
+        if sets is None:
+            # Later rounds may need other rows of the crowds.
+            sets = scratch.save("crowd-sets", _full_sets(_texts(docs, crowded.select(F.col("rep").alias("doc_id")).distinct()), width))
+        found = scratch.save(f"crowd-links-{lo}", _crowd_links(_meetings(members), sets, percent).distinct())
+        if not found.isEmpty():
+            links = scratch.save(f"links-{lo}", links.unionByName(found))
+            roots = components(links, scratch, f"crowd-{lo}")
+    scratch.drop("crowded", "crowd-sets")
     by_key = scratch.save("by_key", reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root")))
     out = keys.join(by_key, "key", "left")
     root = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", root.alias("component_id"), (root == F.col("doc_id")).alias("kept"))
 
 
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """One row for each needed doc_id."""
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words()
