@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from tidemark.llm import linededup, neardup, search
+from tidemark.llm import extraction, linededup, neardup, search
 from tidemark.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.01"
@@ -122,6 +122,20 @@ def test_op4(spark, odd):
         assert got[n]["text"] == f"T\nBody & soul number {n}" and got[n]["n_chars"] == len(got[n]["text"])
 
 
+def mains(spark, bodies):
+    pages = [(n, f"https://b.example/{n}", x) for n, x in enumerate(bodies)]
+    out = extraction.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    return [r["text"] for r in sorted(out, key=lambda r: r["page_id"])]
+
+
+def test_op4_repeated_blocks(spark):
+    notice, own = "<p>Read this note first</p>", "<p>Story {0} goes on</p>"
+    named = [f"<html><article><h1>News</h1>{notice if n < 6 else ''}{own.format(n)}{notice if n < 6 else ''}</article></html>" for n in range(8)]
+    assert mains(spark, named) == [f"News\nStory {n} goes on" for n in range(8)]
+    bare = [f"<html><body><div><h2>Head {n}</h2></div>{notice}<div>{own.format(n) * 2}</div></body></html>" for n in range(5)]
+    assert mains(spark, bare) == [f"Head {n}" + f"\nStory {n} goes on" * 2 for n in range(5)]
+
+
 @pytest.mark.parametrize("where", ["odd", "small"])
 def test_op5(spark, odd, where):
     import public_tokenizers

@@ -1,12 +1,12 @@
 """Main text of web pages by equivalence classes of their tokens.
 
 A page is a row of tokens: tags in their place (the path of tags above them, with class and id)
-and, outside article and main, its text blocks.  Over the pages of a host every token has an occurrence vector;
+and its text blocks, each told from earlier copies on the page and counted as its words.  Over the pages of a host every token has an occurrence vector;
 tokens with the same vector form a class.  A class is valid if it has two tokens or more, each
 once a page, on enough different pages; valid classes nest along their paths into the host's
 template.  What is left between its tokens are slots.  Slots inside menus, headers, footers,
 sidebars, notices, adverts, forms and comments go; the rest of the article (or, where a page has none, of
-the deepest template element that holds most of the text) is the main text.
+the page) is the main text.  An h1 inside article or main is its title and stays, also where it repeats.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from tidemark.llm.common import Scratch, table
 
 #: Share of a host's different pages that a class must be on, the least number of them, and the least size of a class.
 SUPPORT, LEAST_PAGES, LEAST_TOKENS = 0.5, 3, 2
-#: Share of the text that the element taken for the main one must hold, where no tag names it.
+#: An element with this share of the text outside menus and the like is not set aside for its class.
 MOST_TEXT = 0.6
 
 # Element names of HTML by their role.
@@ -33,26 +33,27 @@ ASIDE = frozenset("nav header footer aside form button dialog menu head fieldset
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul aside dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
-#: Words in class or id that mark an element as none of the main text.
+#: Names in class, id or role (whole, or joined of nothing but these) that mark an element as none of the main text.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|popup|modal|menu|nav\w*|breadcrumbs?|sidebar\w*|side|header|footer|masthead|comments?|replies|disqus|respond|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|search|widget|pagination|pager|skip)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+TITLE = re.compile(r"/h1(?:\[[^\]]*\])?(?:/|\Z)")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, bool, bool, list[str], str]], list[str]]:
-    """Blocks (text, kept, in main, paths of the elements around it, own path) in order, and the paths of all tags."""
+def parse(page: str | None) -> tuple[list[tuple[str, bool, bool, str, str]], list[str]]:
+    """Blocks (text, kept, in main, own path, token) in order, and the paths of all tags."""
     page = page or ""
-    blocks: list[tuple[str, bool, bool, list[str], str]] = []
+    found: list[tuple[str, bool, tuple[int, ...], bool, str]] = []
     tags: list[str] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, set aside, main
+    stack: list[tuple[str, str, bool, tuple[int, ...], bool]] = []  # name, path, set aside by tags, elements around it with a mark, main
     text: list[str] = []
 
     def flush() -> None:
         own = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if own:
-            _, path, aside, main = stack[-1] if stack else ("", "", False, False)
-            blocks.append((own, not aside, main, [x[1] for x in stack], path))
+            _, path, aside, marked, main = stack[-1] if stack else ("", "", False, (), False)
+            found.append((own, aside, marked, main, path))
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -79,17 +80,31 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, bool, list[str], str]
             while stack and (stack[-1][0] not in BLOCKS or stack[-1][0] == "p" or (name in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][0] == name)):
                 stack.pop()
         marks = " ".join(a or b or c for a, b, c in NAMED.findall(m[4])) if m[4] else ""
-        _, above, aside, main = stack[-1] if stack else ("", "", False, False)
+        _, above, aside, marked, main = stack[-1] if stack else ("", "", False, (), False)
         path = f"{above}/{name}" + (f"[{marks}]" if marks else "")
         own_main = name in MAIN
         if own_main and not main:
-            aside = False  # an unclosed menu or header does not swallow the article
-        out = name in ASIDE and not (name == "header" and (main or own_main)) or bool(marks and MARKS.search(marks))
+            aside, marked = False, ()  # an unclosed menu or header does not swallow the article
+        out = name in ASIDE and not (name == "header" and (main or own_main))
+        if marks and MARKS.search(marks):
+            out = True
         tags.append(path)
         if name not in VOID and not m[4].endswith("/"):
-            stack.append((name, path, aside or out, main or own_main))
+            stack.append((name, path, aside or out, marked, main or own_main))
     text.append(page[at:].split("<")[0] if re.match(r"[^<]*<[a-zA-Z/!]", page[at:]) else page[at:])
     flush()
+    held: dict[int, int] = {}
+    for own, aside, marked, _, _ in found:
+        if not aside:
+            for k in marked:
+                held[k] = held.get(k, 0) + len(own)
+    whole = sum(len(b[0]) for b in found if not b[1])
+    most = {k for k, n in held.items() if n >= MOST_TEXT * whole}
+    blocks, seen = [], {}
+    for own, aside, marked, main, path in found:
+        token = f"{path}={own}"
+        seen[token] = n = seen.get(token, 0) + 1
+        blocks.append((own, not aside and all(k in most for k in marked), main, path, token if n == 1 else f"{n}:{token}"))
     return blocks, tags
 
 
@@ -105,7 +120,7 @@ def _name(token: str) -> int:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """host, page (digest of the html), token, count of every page."""
+    """host, page (digest of the html), token, count of every page, size (words of a text block, LEAST_TOKENS at most; 1 of a tag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,16 +128,16 @@ def tokens(pages: DataFrame) -> DataFrame:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 blocks, tags = parse(page)
                 own: dict[int, int] = {}
-                named = any(b[2] for b in blocks)
-                for t in [*tags, *(() if named else (f"{b[4]}={b[0]}" for b in blocks))]:
+                for t in tags:
                     k = _name(t)
                     own[k] = own.get(k, 0) + 1
                 host, digest = host_of(url), _name(page or "")
-                rows += [(host, digest, k, n) for k, n in own.items()]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.record_batch([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["host", "page", "token", "n"])
+                rows += [(host, digest, k, n, 1) for k, n in own.items()]
+                rows += [(host, digest, _name(b[4]), 1, min(LEAST_TOKENS, b[0].count(" ") + 1)) for b in blocks]
+            cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+            yield pa.record_batch([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["host", "page", "token", "n", "size"])
 
-    return pages.select("url", "html").mapInArrow(run, "host string, page bigint, token bigint, n bigint")
+    return pages.select("url", "html").mapInArrow(run, "host string, page bigint, token bigint, n bigint, size bigint")
 
 
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -133,10 +148,10 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """
     seen = scratch.save("tokens", tokens(pages))
     # A page that repeats counts once: its rows are the same in every copy.
-    once = seen.groupBy("host", "page", "token").agg(F.max("n").alias("n"))
-    vector = once.groupBy("host", "token").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"))
+    once = seen.groupBy("host", "page", "token").agg(F.max("n").alias("n"), F.max("size").alias("size"))
+    vector = once.groupBy("host", "token").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.max("size").alias("size"), F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"))
     whole = seen.groupBy("host").agg(F.approx_count_distinct("page", 0.02).alias("all"))
-    classes = vector.where((F.col("most") == 1) & (F.col("pages") >= LEAST_PAGES)).groupBy("host", "vector").agg(F.count("*").alias("size"), F.max("pages").alias("pages"), F.collect_list("token").alias("tokens"))
+    classes = vector.where((F.col("most") == 1) & (F.col("pages") >= LEAST_PAGES)).groupBy("host", "vector").agg(F.sum("size").alias("size"), F.max("pages").alias("pages"), F.collect_list("token").alias("tokens"))
     valid = classes.where(F.col("size") >= LEAST_TOKENS).join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
     return scratch.save("templates", valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template")))
 
@@ -144,18 +159,8 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
 def main_text(page: str | None, template: frozenset[int]) -> str:
     blocks, _ = parse(page)
     kept = [b for b in blocks if b[1]]
-    named = [b for b in kept if b[2]]
-    if named:
-        return "\n".join(b[0] for b in named)
-    slots = [b for b in kept if _name(f"{b[4]}={b[0]}") not in template]
-    whole = sum(len(b[0]) for b in slots)
-    held: dict[str, int] = {}
-    for b in slots:
-        for path in dict.fromkeys(b[3]):
-            if _name(path) in template:
-                held[path] = held.get(path, 0) + len(b[0])
-    best = max((p for p, n in held.items() if n >= MOST_TEXT * whole), key=lambda p: p.count("/"), default=None)
-    return "\n".join(b[0] for b in slots if best is None or best in b[3])
+    region = [b for b in kept if b[2]] or kept
+    return "\n".join(b[0] for b in region if (b[2] and TITLE.search(b[3])) or _name(b[4]) not in template)
 
 
 def extract(pages: DataFrame) -> DataFrame:
