@@ -136,6 +136,13 @@ def test_op4_repeated_blocks(spark):
     assert mains(spark, bare) == [f"Head {n}" + f"\nStory {n} goes on" * 2 for n in range(5)]
 
 
+def test_op4_classes():
+    none = frozenset()
+    assert extraction.main_text('<article class="post comments-open search"><h1 class="entry-header">A</h1><section class="social-history"><p>B</p></section><div class="ad">C</div></article>', none) == "A\nB"
+    assert extraction.main_text('<body class="no-sidebar menu"><p>A b c</p><div class="x sidebar">D</div></body>', none) == "A b c"
+    assert extraction.main_text('<div class="widget"><p>Nearly all of the text</p></div><p>x</p>', none) == "Nearly all of the text\nx"
+
+
 @pytest.mark.parametrize("where", ["odd", "small"])
 def test_op5(spark, odd, where):
     import public_tokenizers

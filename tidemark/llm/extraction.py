@@ -34,7 +34,8 @@ BLOCKS = frozenset("address article blockquote body caption center dd details di
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
 #: Names in class, id or role (whole, or joined of nothing but these) that mark an element as none of the main text.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|popup|modal|menu|nav\w*|breadcrumbs?|sidebar\w*|side|header|footer|masthead|comments?|replies|disqus|respond|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|search|widget|pagination|pager|skip)(?:$|[\s_-])", re.I)
+_MARK = r"(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookies?|consent|notices?|alert|popup|modal|menu|nav\w*|breadcrumbs?|sidebar\w*|side|header|footer|masthead|comments?|replies|disqus|respond|related|recommend\w*|share|sharing|social|newsletter|subscribe|signup|login|search|widget|pagination|pager|skip)"
+MARKS = re.compile(rf"(?:^|\s){_MARK}(?:[_-]{_MARK})*(?:$|\s)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 TITLE = re.compile(r"/h1(?:\[[^\]]*\])?(?:/|\Z)")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -86,8 +87,8 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, bool, str, str]], lis
         if own_main and not main:
             aside, marked = False, ()  # an unclosed menu or header does not swallow the article
         out = name in ASIDE and not (name == "header" and (main or own_main))
-        if marks and MARKS.search(marks):
-            out = True
+        if marks and not own_main and name not in ("html", "body") and MARKS.search(marks):
+            marked = (*marked, len(tags))
         tags.append(path)
         if name not in VOID and not m[4].endswith("/"):
             stack.append((name, path, aside or out, marked, main or own_main))
