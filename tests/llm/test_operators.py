@@ -200,6 +200,14 @@ def test_op8(spark, odd):
         assert r["text"] == left
 
 
+def test_op8_short_line(spark):
+    """One repeated sentence of nine words between lines of their own."""
+    line = "all rights in this text are kept by us"
+    rows = [(n, f"own words {n}\n{line}\nother words {n}") for n in range(30)]
+    out = linededup.delete_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["removed"] for r in out} == {n: [1] if n else [] for n in range(30)}
+
+
 def sets_of(text, width):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()

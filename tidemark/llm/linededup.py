@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, partitions, table
 
-MIN_WORDS = 40
+#: About one sentence: shorter repeated runs (greetings, headings, list marks) stay.
+MIN_WORDS = 6
 WORD = r"[^\x20\x09-\x0D]+"
 
 
