@@ -277,6 +277,23 @@ def test_op10(spark, odd):
             assert [got[q][k][0] for k in sorted(got[q])][:-1] == [i for _, i in best][:-1], q
 
 
+def test_op10_registered(spark, odd):
+    """The query as registered: BM25 of all words of every 20th document."""
+    path, rows = odd
+    got = defaultdict(list)
+    for r in sorted(QUERIES["op10_block_max_wand"](spark, path).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append(r["score"])
+    bags = {i: Counter((t or "").encode().lower().split()) for i, t in rows}
+    bags = {i: b for i, b in bags.items() if b}
+    df = Counter(w for b in bags.values() for w in b)
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    asked = [q for q in bags if q % 20 == 0]
+    assert max(len(bags[q]) for q in asked) > 24 and set(got) <= set(asked)
+    for q in asked:
+        scores = [sum(math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w in bags[q] if w in b) for i, b in bags.items() if i != q]
+        assert got[q] == pytest.approx(sorted((x for x in scores if x), reverse=True)[:10], abs=2e-6), q
+
+
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline as C
 
