@@ -136,8 +136,68 @@ def test_op4_repeated_blocks(spark):
     assert mains(spark, bare) == [f"Head {n}" + f"\nStory {n} goes on" * 2 for n in range(5)]
 
 
+def soup(n):
+    """A page whose tags tell nothing: menu and footer repeat, headline and body are its own; a remark is on two pages only."""
+    remark = "<div><div>Said twice only</div></div>" if n < 2 else ""
+    return f"<html><body><div><div>Home and news</div></div><section><p>Head {n}</p><p>Body of page {n} here</p>{remark}</section><div><p>All rights are ours</p></div></body></html>"
+
+
+def test_op4_template_decides():
+    """Without the template every page keeps its menu and footer; with it, none does."""
+    pages = [soup(n) for n in range(8)]
+    want = [f"Head {n}\nBody of page {n} here" + ("\nSaid twice only" if n < 2 else "") for n in range(8)]
+    assert all(extraction.main_text(x) == f"Home and news\n{w}\nAll rights are ours" for x, w in zip(pages, want, strict=True))
+
+
+def test_op4_soup(spark):
+    assert mains(spark, [soup(n) for n in range(8)]) == [f"Head {n}\nBody of page {n} here" + ("\nSaid twice only" if n < 2 else "") for n in range(8)]
+
+
+def brute_template(bodies):
+    """Token -> occurrence vector over the different pages, and the tokens of the valid classes."""
+    pages = sorted(set(bodies))
+    vectors = defaultdict(lambda: [0] * len(pages))
+    size = {}
+    for n, page in enumerate(pages):
+        blocks, elements = extraction.parse(page)
+        for e in elements:
+            vectors[e.path][n] += 1
+            size[e.path] = 1
+        for b in blocks:
+            vectors[b.token][n] += 1
+            size[b.token] = min(2, len(b.text.split(" ")))
+    classes = defaultdict(list)
+    for token, v in vectors.items():
+        classes[tuple(v)].append(token)
+    out = set()
+    for v, own in classes.items():
+        if max(v) == 1 and sum(v) >= 3 and 2 * sum(v) >= len(pages) and sum(size[t] for t in own) >= 2:
+            out.update(own)
+    return {extraction._name(t) for t in out}
+
+
+def test_op4_classes_brute_force(spark):
+    """The classes of several hosts, one of them given pages, against occurrence vectors written out."""
+    hosts = {"a.example": [soup(n) for n in range(8)], "b.example": [soup(n % 3) for n in range(9)], "c.example": ["<p>x y</p>"] * 5}
+    for url, page in duckdb.sql(f"SELECT url, html FROM '{SMALL}/pages.parquet' WHERE html IS NOT NULL ORDER BY page_id").fetchall():
+        hosts.setdefault(extraction.host_of(url), []).append(page)
+    rows = [(f"https://{h}/{n}", x) for h, own in hosts.items() for n, x in enumerate(own)]
+    got = extraction.templates(spark.createDataFrame(rows, "url string, html string"), extraction.Scratch(spark, "t")).collect()
+    got = {r["host"]: {int(x.split()[0]) for x in r["template"].split(",")} for r in got}
+    want = {h: brute_template(own) for h, own in hosts.items()}
+    assert got == {h: t for h, t in want.items() if t} and len(got) > 3
+
+
+def test_op4_awkward(spark):
+    """Null urls have no template; clashing columns stay; elements that show text are not cut."""
+    rows = [(n, None, soup(n), "x", "y", "z") for n in range(6)]
+    out = extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, _host string, template string, `odd name` string")).collect()
+    assert all(r["text"].startswith("Home and news\n") and (r["_host"], r["template"], r["odd name"]) == ("x", "y", "z") for r in out) and len(out) == 6
+    assert extraction.main_text("<article><p>a <math><mi>x</mi></math> b</p><noscript>c</noscript></article>") == "a x b\nc"
+
+
 def test_op4_classes():
-    none = frozenset()
+    none = extraction.NONE
     assert extraction.main_text('<article class="post comments-open search"><h1 class="entry-header">A</h1><section class="social-history"><p>B</p></section><div class="ad">C</div></article>', none) == "A\nB"
     assert extraction.main_text('<body class="no-sidebar menu"><p>A b c</p><div class="x sidebar">D</div></body>', none) == "A b c"
     assert extraction.main_text('<div class="widget"><p>Nearly all of the text</p></div><p>x</p>', none) == "Nearly all of the text\nx"
