@@ -58,7 +58,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that are one token wherever they stand in a text; such texts are encoded whole.
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -87,10 +88,15 @@ class WordEncoder:
         self.cache.update(zip(rest, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        words = [_apart(t.lower()).split() for t in texts]
+        lower = [t.lower() for t in texts]
+        whole = {n for n, t in enumerate(lower) if any(s in t for s in self.special)}
+        words = [[] if n in whole else _apart(t).split() for n, t in enumerate(lower)]
         self.learn(words)
         get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in words]
+        out = [b"".join(map(get, x)) for x in words]
+        for n in whole:
+            out[n] = np.array(self.tokenizer.encode(texts[n].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @functools.lru_cache(1)
@@ -154,9 +160,6 @@ def plan(counts: dict[int, int], max_len: int = MAX_LEN) -> tuple[np.ndarray, in
         lengths = sorted(left)
         used: Counter = Counter()
 
-        def spare() -> list[int]:
-            return [x for x in lengths if left[x] > used[x]]
-
         used[lengths[-1]] += 1
         gap = max_len - lengths[-1]
         at = len(lengths)
@@ -188,7 +191,7 @@ def plan(counts: dict[int, int], max_len: int = MAX_LEN) -> tuple[np.ndarray, in
 
 
 def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """pieces (doc_id, piece, length, ...) with sequence_id and offset (columns of those names are replaced).
+    """pieces (doc_id, piece, length, ...) with sequence_id and offset (columns of those names are replaced, all others stay).
 
     The result is whole: every piece gets a place.  What reaches the driver is the histogram of
     lengths (max_len rows at most).  Ranks are counted within (length, salt), so a length that a
@@ -196,7 +199,11 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     again: pass a written table.  An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    salted = pieces.drop("sequence_id", "offset").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    plain = {c: f"column_{n}" for n, c in enumerate(pieces.drop("sequence_id", "offset").columns)}
+    own = ("doc_id", "piece", "length")
+    named = {c: c if c in own else v for c, v in plain.items()}
+    pieces = pieces.select(*(F.col(f"`{c}`").alias(v) for c, v in named.items()))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
     per_salt = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     first = per_salt.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_first"))
@@ -219,7 +226,8 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
             yield pa.record_batch([*(batch.column(i) for i in keep), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())], [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(run, f"{shape}, sequence_id bigint, offset bigint")
+    out = ranked.mapInArrow(run, f"{shape}, sequence_id bigint, offset bigint")
+    return out.select(*(F.col(v).alias(c) for c, v in named.items()), "sequence_id", "offset")
 
 
 def crc_of_ids(pieces: DataFrame) -> DataFrame:
@@ -233,5 +241,6 @@ def pack_documents(docs: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
 
 
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents() over all documents; a null text is its end token alone, rows that repeat are packed each."""
     out = pack_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
