@@ -3,13 +3,16 @@
 Fixed patterns find protected entities (email, ip, card, phone).  The corpus then tells how much
 each term gives away about them: with p the share of documents, a term t discloses entity kind e to the
 degree PMI(t, e) / -log p(e), which is 1 if every document with t holds an entity of that kind.
-Terms seen in enough documents are generalised from GENERALISE on and removed from REMOVE on, in the
-documents that hold such an entity.  Base entities are always masked.
+The share of t's documents that hold one is taken at the lower end of its Wilson interval (CONFIDENCE
+standard deviations), so a rare term needs fewer documents the rarer the entity is, and chance does not
+disclose.  Terms are generalised from GENERALISE on (to their first
+letter or digit) and removed from REMOVE on, in the documents that hold such an entity.  Base entities are always
+masked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, table
@@ -26,7 +29,11 @@ PATTERNS = {
 }
 #: What a text must hold for the pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "card": r"[0-9]", "phone": "+"}
-SUPPORT, GENERALISE, REMOVE = 20, 0.9, 0.98
+CONFIDENCE, GENERALISE, REMOVE = 3.0, 0.9, 0.98
+#: What makes a word a term.
+TERM = r"[\p{L}\p{N}]{3}"
+#: Elements of an array that are added up one by one in running().
+STRETCH = 128
 
 
 def digits(text: Column) -> Column:
@@ -59,6 +66,24 @@ def is_kind(k: int):
     return lambda x: x["kind"] == k
 
 
+def running(own: Column, add) -> Column:
+    """add (associative, with 0 as its start) of every element and all before it; own (of integers, from 0 on) is bound by let.
+
+    Elements are added up within stretches, and so are the stretches, so long arrays cost no square.
+    """
+    n = F.size(own)
+    total = lambda x: F.aggregate(x, F.lit(0), add)
+    places = F.when(n > 0, F.sequence(F.lit(0), F.shiftright(n - 1, 7))).otherwise(F.array().cast("array<int>"))
+    sums = F.transform(places, lambda b: total(F.slice(own, b * STRETCH + 1, F.lit(STRETCH))))
+    before = let(sums, lambda x: F.transform(x, lambda _, b: total(F.slice(x, F.lit(1), b))))
+
+    def at(x: Column, i: Column) -> Column:
+        b = F.shiftright(i, 7)
+        return add(F.get(x, b), total(F.slice(own, b * STRETCH + 1, i - b * STRETCH + 1)))
+
+    return let(before, lambda x: F.transform(own, lambda _, i: at(x, i)))
+
+
 EMPTY = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -68,15 +93,14 @@ def matches(text: Column, kind: str) -> Column:
 
     def spans(both: Column) -> Column:
         found, between = both["m"], both["s"]
-        sizes = F.transform(found, lambda m, i: F.struct((F.length(m)).alias("own"), (F.length(F.get(between, i)) + F.length(m)).alias("step")))
+        steps = F.transform(found, lambda m, i: F.length(F.get(between, i)) + F.length(m))
 
-        def placed(own: Column) -> Column:
-            ends = F.transform(own, lambda _, i: F.aggregate(F.slice(own, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x["step"]))
-            each = let(ends, lambda e: F.transform(own, lambda x, i: F.struct((F.get(e, i) - x["own"]).alias("start"), F.lit(number).alias("kind"), F.get(e, i).alias("end"), F.get(found, i).alias("m"))))
+        def placed(ends: Column) -> Column:
+            each = F.transform(found, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.lit(number).alias("kind"), F.get(ends, i).alias("end"), m.alias("m")))
             good = F.filter(each, lambda x: holds(kind, x["m"]))
             return F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-        return let(sizes, placed)
+        return let(let(steps, lambda x: running(x, lambda a, b: a + b)), placed)
 
     some = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("s"))
     need = NEEDS[kind]
@@ -85,7 +109,7 @@ def matches(text: Column, kind: str) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """docs with _text (never null) and _base, the spans of all kinds by start, then kind."""
+    """docs (doc_id, text, ...) with _text (never null) and _base, the spans of all kinds by start, then kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumn("_text", text).withColumn("_base", F.sort_array(F.concat(*(matches(text, k) for k in KINDS))))
 
@@ -98,63 +122,61 @@ def bare(word: Column) -> Column:
 def disclosing(found: DataFrame) -> DataFrame:
     """term, kind (number), remove: terms whose disclosure of a kind reaches GENERALISE.
 
-    found: doc_id, _text, _base of the whole corpus.  Counts are of documents; they are summed before
-    the shuffle, and nothing reaches the driver.
+    found: _text, _base of the whole corpus (rows that repeat count each).  Counts are of documents; they are summed before
+    the shuffle, and nothing reaches the driver but their totals.  An empty corpus has no terms.
     """
     has = [F.exists("_base", is_kind(k)).alias(f"has{k}") for k in range(len(KINDS))]
     one = [F.count_if(f"has{k}").alias(f"n{k}") for k in range(len(KINDS))]
-    flags = found.select("_text", *has)
-    terms = flags.select(F.explode(F.array_distinct(F.transform(F.filter(F.split("_text", SPACE), lambda w: w.rlike(r"\p{L}{3}")), bare))).alias("term"), *(f"has{k}" for k in range(len(KINDS))))
+    total = found.select(*has).agg(F.count("*").alias("all"), *(F.count_if(f"has{k}").alias(f"all{k}") for k in range(len(KINDS)))).first()
+    terms = found.select(F.explode(F.array_distinct(F.transform(F.filter(F.split("_text", SPACE), lambda w: w.rlike(TERM)), bare))).alias("term"), *has)
     counts = terms.groupBy("term").agg(F.count("*").alias("n"), *one)
-    total = flags.agg(F.count("*").alias("all"), *(F.count_if(f"has{k}").alias(f"all{k}") for k in range(len(KINDS)))).first()
-    rows = []
+    rows, z = [], CONFIDENCE**2
     for k in range(len(KINDS)):
         share = total[f"all{k}"] / total["all"] if total["all"] else 0
         if 0 < share < 1:
-            degree = F.log(F.col(f"n{k}") / F.col("n") / share) / F.log(F.lit(1 / share))
-            rows.append(F.struct(F.lit(k).alias("kind"), F.when(F.col(f"n{k}") >= SUPPORT, degree).alias("degree")))
+            n, p = F.col("n").cast("double"), F.col(f"n{k}") / F.col("n")
+            least = (p + z / (2 * n) - F.sqrt(z * (p * (1 - p) + z / (4 * n)) / n)) / (1 + z / n)
+            degree = F.when(least > share, F.log(least / share) / F.log(F.lit(1 / share)))
+            rows.append(F.struct(F.lit(k).alias("kind"), degree.alias("degree")))
     if not rows:
         return counts.select("term", F.lit(0).alias("kind"), F.lit(False).alias("remove")).limit(0)
-    each = counts.where(F.greatest(*(F.col(f"n{k}") for k in range(len(KINDS)))) >= SUPPORT).select("term", F.explode(F.array(*rows)).alias("x"))
+    each = counts.where(F.greatest(*(F.col(f"n{k}") for k in range(len(KINDS)))) > 1).select("term", F.explode(F.array(*rows)).alias("x"))
     return each.where(F.col("x.degree") >= GENERALISE).select("term", F.col("x.kind").alias("kind"), (F.col("x.degree") >= REMOVE).alias("remove"))
 
 
 def _term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id and _extra: spans (start, kind, end) of disclosing terms; kind 4 is generalised, 5 removed.
+    """_row and _extra: spans (start, kind, end) of disclosing terms; kind 4 is generalised, 5 removed.
 
-    Only documents with entities are split into words; a span of a word that a base entity
-    overlaps is left to it.
+    found: _row (unique), _text, _base.  Only rows with entities are split into words, and words are placed only in
+    rows that have such a term; a word that a base entity overlaps is left to it.
     """
-    with_some = found.where(F.size("_base") > 0)
-    piece = F.split("_text", r"[\x20\x09-\x0D]", -1)
-    words = with_some.select("doc_id", F.transform("_base", lambda x: x["kind"]).alias("kinds"), F.posexplode(piece).alias("pos", "word")).where(F.col("word").rlike(r"\p{L}{3}"))
-    hit = words.select("doc_id", "kinds", "pos", "word", bare(F.col("word")).alias("term")).join(terms, "term").where(F.array_contains("kinds", F.col("kind")))
-    hit = hit.groupBy("doc_id").agg(F.collect_set(F.struct("pos", F.length("word").alias("size"), "remove")).alias("hits"))
-
-    def spans(own: Column) -> Column:
-        def one(h: Column) -> Column:
-            start = F.when(h["pos"] == 0, F.lit(0)).otherwise(F.length(F.array_join(F.slice(own, F.lit(1), h["pos"]), " ")) + 1)
-            return F.struct(start.alias("start"), F.when(h["remove"], F.lit(5)).otherwise(F.lit(4)).alias("kind"), (start + h["size"]).alias("end"))
-
-        each = F.transform("hits", one)
-        return F.filter(each, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-
-    return with_some.join(hit, "doc_id").select("doc_id", let(piece, spans).alias("_extra"))
+    with_some = found.where(F.size("_base") > 0).select("_row", "_text", "_base")
+    pieces = F.posexplode(F.split("_text", r"[\x20\x09-\x0D]", -1)).alias("pos", "word")
+    words = with_some.select("_row", F.transform("_base", lambda x: x["kind"]).alias("kinds"), pieces).where(F.col("word").rlike(TERM))
+    hit = words.select("_row", "kinds", "pos", bare(F.col("word")).alias("term")).join(terms, "term").where(F.array_contains("kinds", F.col("kind")))
+    hit = hit.groupBy("_row", "pos").agg(F.max("remove").alias("remove"))
+    rows = with_some.join(hit.select("_row").distinct(), "_row", "left_semi")
+    upto = F.sum(F.length("word") + 1).over(Window.partitionBy("_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    placed = rows.select("_row", pieces).withColumn("end", upto.cast("int")).join(hit, ["_row", "pos"])
+    span = F.struct((F.col("end") - F.length("word")).alias("start"), F.when(F.col("remove"), 5).otherwise(4).alias("kind"), F.col("end"))
+    spans = placed.groupBy("_row").agg(F.collect_list(span).alias("each")).join(rows.select("_row", "_base"), "_row")
+    free = F.filter("each", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return spans.select("_row", free.alias("_extra"))
 
 
-MASKS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "<TERM>", "")
+MASKS = ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>", "", "")
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """text with every span replaced by the mask of its kind; what spans share is replaced once."""
+    """text with every span replaced by the mask of its kind; what spans share is replaced once.  A generalised term keeps its first sign."""
 
     def cut(own: Column) -> Column:
-        ends = F.transform(own, lambda _, i: F.coalesce(F.array_max(F.transform(F.slice(own, F.lit(1), i), lambda x: x["end"])), F.lit(0)))
+        ends = let(F.transform(own, lambda x: x["end"]), lambda e: running(e, lambda a, b: F.greatest(a, b)))
 
         def parts(done: Column) -> Column:
             def part(x: Column, i: Column) -> Column:
-                before = F.get(done, i)
-                mask = F.get(F.array(*map(F.lit, MASKS)), x["kind"])
+                before = F.when(i > 0, F.get(done, i - 1)).otherwise(F.lit(0))
+                mask = F.when(x["kind"] == 4, F.concat(F.lit("<TERM "), F.upper(F.substring(text, x["start"] + 1, F.lit(1))), F.lit(">"))).otherwise(F.get(F.array(*map(F.lit, MASKS)), x["kind"]))
                 return F.concat(F.substring(text, before + 1, F.greatest(x["start"] - before, F.lit(0))), F.when(x["end"] > before, mask).otherwise(F.lit("")))
 
             last = F.array_max(F.transform(own, lambda x: x["end"]))
@@ -169,18 +191,19 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs with text masked and spans (array of start, kind, end; kinds 0 to 3 are KINDS, 4 a term
     generalised, 5 a term removed) and base (the first four kinds).  Positions are code points of the text as it was.
 
-    A null text holds nothing and stays null.  Rows that repeat a doc_id count as documents of their
-    own, but share the terms found in either.  Columns named spans or base are replaced,
-    and _text, _base and _extra dropped.  An empty table gives an empty result.
+    A null text holds nothing and stays null.  Every row is a document of its own, also where it
+    repeats a doc_id (which may be null).  Columns named spans or base are replaced, all others stay.
+    An empty table gives an empty result.  Rows with their base spans are written once, and all steps read them there.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    plain = docs.drop("spans", "base", "_text", "_base", "_extra")
-    found = entities(plain.select("doc_id", "text"))
+    plain = {c: f"column_{n}" for n, c in enumerate(docs.drop("spans", "base").columns)}
+    rows = docs.select(*(F.col(f"`{c}`").alias(v) for c, v in plain.items())).withColumn("text", F.col(plain["text"]))
+    found = scratch.save("found", entities(rows).drop("text").withColumn("_row", F.monotonically_increasing_id()))
     terms = scratch.save("terms", disclosing(found))
-    extra = scratch.save("extra", _term_spans(found, terms)).dropDuplicates(["doc_id"])
-    out = entities(plain).join(extra, "doc_id", "left").withColumn("spans", F.sort_array(F.concat("_base", F.coalesce("_extra", F.array().cast(EMPTY)))))
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), masked(F.col("_text"), F.col("spans")))).withColumnRenamed("_base", "base")
-    return out.select(*plain.columns, "spans", "base")
+    extra = scratch.save("extra", _term_spans(found, terms))
+    out = found.join(extra, "_row", "left").withColumn("spans", F.sort_array(F.concat("_base", F.coalesce("_extra", F.array().cast(EMPTY)))))
+    own = {c: F.col(v) for c, v in plain.items()} | {"text": F.when(F.col(plain["text"]).isNotNull(), masked(F.col("_text"), F.col("spans")))}
+    return out.select(*(x.alias(c) for c, x in own.items()), "spans", F.col("_base").alias("base"))
 
 
 def digest(spans: Column) -> Column:
@@ -189,6 +212,7 @@ def digest(spans: Column) -> Column:
 
 
 def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sanitise() over all documents: counts and digests of its spans; a null text holds nothing."""
     out = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def count(k: int) -> Column:
