@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from tidemark.llm import extraction, linededup, neardup, search
+from tidemark.llm import extraction, linededup, neardup, packing, pii, search
 from tidemark.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.01"
@@ -68,6 +68,41 @@ def test_op1(spark, odd, where):
         assert got[i]["base_sha256"] == digest, i
 
 
+def test_op1_terms(spark):
+    """Planted terms: one seen only with emails, one nearly only; degrees and masked texts by hand."""
+    rows = [(n, f"note{n} zorblax mail a{n}@b.example now") for n in range(200)]
+    rows += [(200 + n, f"note quixel mail c{n}@d.example 5551234x") for n in range(60)] + [(300, "quixel alone"), (301, "zorblax"), (301, "mail x@y.example zorblax")]
+    rows += [(1000 + n, f"plain words of text {n}") for n in range(2000)]
+    out = pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    share = 261 / len(rows)
+    z = pii.CONFIDENCE**2
+
+    def degree(hits, n):
+        p = hits / n
+        least = (p + z / (2 * n) - math.sqrt(z * (p * (1 - p) + z / (4 * n)) / n)) / (1 + z / n)
+        return math.log(least / share) / math.log(1 / share)
+
+    state = {w: degree(*c) for w, c in {"zorblax": (201, 202), "quixel": (60, 61), "mail": (261, 261), "now": (200, 200), "5551234x": (60, 60), "note": (60, 60)}.items()}
+    mask = {w: w if d < pii.GENERALISE else "" if d >= pii.REMOVE else f"<TERM {w[0].upper()}>" for w, d in state.items()}
+    assert set(mask.values()) & {""} and any("TERM" in m for m in mask.values())
+    want = []
+    for i, t in rows:
+        words = [re.sub(r"^[^@ ]+@[^@ ]+$", "<EMAIL>", w) if "@" in w else mask.get(w, w) if "@" in t else w for w in t.split(" ")]
+        want.append((i, " ".join(words)))
+    assert sorted((r["doc_id"], r["text"]) for r in out) == sorted(want)
+
+
+def test_op1_many_matches(spark):
+    """A text with thousands of addresses, and two texts with one id."""
+    text = " ".join(f"user{n}@host{n}.example 10.0.{n % 300}.7" for n in range(3000))
+    rows = [(7, text), (7, "a@b.cd tail"), (None, "x@y.zz")]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((len(r["base"]), r["text"][-8:]) for r in got) == [(1, "<EMAIL>"), (1, "IL> tail"), (6000 - sum(n % 300 > 255 for n in range(3000)), "<EMAIL> 10.0.299.7"[-8:])]
+    own = next(r for r in got if len(r["base"]) > 1)
+    want = sorted((m.start(), k, m.end()) for k, p in enumerate(list(KINDS.values())[:2]) for m in re.finditer(p[0], text) if p[1](m.group()))
+    assert [tuple(x) for x in own["base"]] == want
+
+
 def held_out(spark, name, label, mod, rest, at):
     truth = dict(duckdb.sql(f"SELECT doc_id, {label} FROM '{SMALL}/labels.parquet'").fetchall())
     rows = QUERIES[name](spark, SMALL).collect()
@@ -76,9 +111,14 @@ def held_out(spark, name, label, mod, rest, at):
     return [(r["predicted"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
 
 
+def rates(pairs):
+    """Shares of the rows labelled 1, and of those labelled 0, that are predicted right."""
+    return [sum(p == y for p, y in pairs if y == k) / sum(y == k for _, y in pairs) for k in (1, 0)]
+
+
 def test_op2_held_out(spark):
     pairs = held_out(spark, "op2_latent_neighbours", "quality", 3, 1, 0.5)
-    assert sum(p == y for p, y in pairs) >= 0.85 * len(pairs)
+    assert min(rates(pairs)) >= 0.9
 
 
 def test_op7_held_out(spark):
@@ -115,6 +155,17 @@ def test_op3(spark, odd, where):
     assert len(used) <= math.ceil(total / 4096 * 1.03) + 1
 
 
+def test_op3_special_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|>word<|endoftext|>", "A <|ENDOFTEXT|> b.", "x<|endoftext|", "<|endoftext|><|endoftext|>", "plain words here, too."]
+    got = packing.WordEncoder(path).encode_all([t.encode() for t in texts])
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_op4(spark, odd):
     got = {r["page_id"]: r for r in QUERIES["op4_template_slots"](spark, odd[0]).collect()}
     assert len(got) == 12 and got[0]["text"] == "" and got[1]["text"] == ""

@@ -150,7 +150,8 @@ def open_text(blocks: list[Block], elements: list[Element]) -> int:
     return sum(len(b.text) for b in blocks if not any(elements[k].role == "tag" for k in b.around))
 
 
-ROW = "host string, page bigint, token bigint, n bigint, size bigint, parent bigint, role string, held bigint, whole bigint"
+ROLES = ("", "tag", "mark", "main")
+ROW = "host string, page bigint, token bigint, n bigint, size bigint, parent bigint, role int, held bigint, whole bigint"
 
 
 def tokens(pages: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def tokens(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in ROW.split(", ")]
-        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in ROW.split(", ")]
+        kinds = [{"string": pa.string(), "int": pa.int32()}.get(x.split()[1], pa.int64()) for x in ROW.split(", ")]
         for batch in batches:
             rows = []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -177,7 +178,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                     count[e.path] = count.get(e.path, 0) + 1
                     held[e.path] = held.get(e.path, 0) + e.held
                 for e in {e.path: e for e in elements}.values():
-                    rows.append((host, digest, _name(e.path), count[e.path], 1, _name(e.parent) if e.parent else None, e.role, held[e.path], whole))
+                    rows.append((host, digest, _name(e.path), count[e.path], 1, _name(e.parent) if e.parent else None, ROLES.index(e.role), held[e.path], whole))
                 rows += [(host, digest, _name(b.token), 1, min(LEAST_TOKENS, b.text.count(" ") + 1), None, None, 0, whole) for b in blocks]
                 if not rows or rows[-1][1] != digest:
                     rows.append((host, digest, _name(""), 2, 0, None, None, 0, 0))  # so that the page is counted
@@ -198,10 +199,10 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     # A page that repeats counts once: its rows are the same in every copy.
     once = seen.groupBy("host", "page", "token").agg(*(F.max(c).alias(c) for c in ("n", "size", "parent", "role", "held", "whole")))
     share = F.coalesce(F.sum("held") / F.nullif(F.sum("whole"), F.lit(0)), F.lit(0.0))
-    role = F.when((F.max("role") == "mark") & (share >= MOST_TEXT), "").otherwise(F.max("role"))
+    role = F.when((F.max("role") == ROLES.index("mark")) & (share >= MOST_TEXT), 0).otherwise(F.max("role"))
     vector = once.groupBy("host", "token").agg(F.count("*").alias("pages"), F.max("n").alias("most"), F.max("size").alias("size"), F.max("parent").alias("parent"), role.alias("role"), F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"))
     whole = seen.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("all"))
-    row = F.concat_ws(" ", F.col("token").cast("string"), F.coalesce(F.col("parent").cast("string"), F.lit("-")), F.when(F.col("role").isNull(), "text").when(F.col("role") == "", "plain").otherwise(F.col("role")))
+    row = F.concat_ws(" ", F.col("token").cast("string"), F.coalesce(F.col("parent").cast("string"), F.lit("-")), F.coalesce(F.get(F.array(*(F.lit(x or "plain") for x in ROLES)), F.col("role")), F.lit("text")))
     classes = vector.where((F.col("most") == 1) & (F.col("pages") >= LEAST_PAGES)).groupBy("host", "vector").agg(F.sum("size").alias("size"), F.max("pages").alias("pages"), F.collect_list(row).alias("tokens"))
     valid = classes.where(F.col("size") >= LEAST_TOKENS).join(whole, "host").where(F.col("pages") >= SUPPORT * F.col("all"))
     return scratch.save("templates", valid.groupBy("host").agg(F.array_join(F.array_sort(F.flatten(F.collect_list("tokens"))), ",").alias("template")))
