@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import Key, keys, with_index, zip_frames
+from tidemark.operators.ordering import Key, keys, with_index, with_previous, zip_frames
+from tidemark.session import staged
 
 
 def transform(op: Callable[..., Column], *inputs: tuple[DataFrame, Sequence[Key], str], alias: str = "value") -> DataFrame:
@@ -23,14 +24,12 @@ def choose(df: DataFrame, k: int) -> DataFrame:
 
 
 def unique(df: DataFrame, values: Sequence[str], order_by: Sequence[Key], within: Sequence[str] = ()) -> DataFrame:
-    """Rows that differ from the row before in `values`; nulls equal each other."""
-    w = Window.partitionBy(*within).orderBy(*keys(order_by))
-    same = [F.lag(v).over(w).eqNullSafe(F.col(v)) for v in values]
-    first = F.row_number().over(w) == 1
-    flag = first
-    for n, s in enumerate(same):
-        flag = flag | ~s
-    return df.withColumn("_new", flag).where("_new").drop("_new")
+    """Rows that differ from the row before (of their group) in `values`; nulls equal each other."""
+    own = with_previous(df, list(dict.fromkeys([*values, *within])), [*within, *order_by], "_before")
+    same = F.col("_before").isNotNull()
+    for c in (*values, *within):
+        same = same & F.col(f"_before.{c}").eqNullSafe(F.col(c))
+    return own.where(~same).drop("_before")
 
 
 def unique_by(df: DataFrame, like: Callable[[object, object], bool], value: str, order_by: Sequence[str], within: Sequence[str]) -> DataFrame:
@@ -85,3 +84,9 @@ def find(df: DataFrame, value: str, wanted: object) -> DataFrame:
 def filtered(df: DataFrame, drop: Column) -> tuple[DataFrame, DataFrame]:
     """Rows where drop does not hold, and one row with the number of those where it does."""
     return df.where(~F.coalesce(drop, F.lit(False))), df.agg(F.count_if(drop).alias("dropped"))
+
+
+def node_outputs(df: DataFrame, **outputs: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """Several outputs of one node: its rows are computed and written once, and every output reads them there."""
+    own = staged(df, "node")
+    return {name: f(own) for name, f in outputs.items()}

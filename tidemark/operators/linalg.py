@@ -43,25 +43,22 @@ def multiply_blocked(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
     """
 
     def blocks(df: DataFrame, r: str, c: str) -> DataFrame:
-        cell = F.struct((F.col("i") % block).cast("int").alias("r"), (F.col("j") % block).cast("int").alias("c"), F.col("v").cast("double").alias("v"))
-        return df.groupBy(F.expr(f"i div {block}").alias(r), F.expr(f"j div {block}").alias(c)).agg(F.collect_list(cell).alias("cells"))
+        lists = [F.collect_list(x).alias(f"{n}_{r}") for n, x in (("at", F.expr(f"int((i % {block}) * {block} + j % {block})")), ("v", F.col("v").cast("double")))]
+        return df.where("v is not null").groupBy(F.expr(f"i div {block}").alias(r), F.expr(f"j div {block}").alias(c)).agg(*lists)
 
-    pairs = blocks(a, "bi", "bk").withColumnRenamed("cells", "x").join(blocks(b, "bk", "bj").withColumnRenamed("cells", "y"), "bk")
+    pairs = blocks(a, "bi", "bk").join(blocks(b, "bk", "bj"), "bk")
 
-    def dense(cells) -> np.ndarray:
-        out = np.zeros((block, block))
-        for c in cells:
-            out[c["r"], c["c"]] += c["v"]
-        return out
+    def dense(at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.bincount(at, v, block * block).reshape(block, block)
 
     def run(batches):
         for pdf in batches:
-            for bi, bj, x, y in zip(pdf["bi"], pdf["bj"], pdf["x"], pdf["y"], strict=True):
-                out = dense(x) @ dense(y)
+            for bi, bj, *x in zip(*(pdf[c] for c in ("bi", "bj", "at_bi", "v_bi", "at_bk", "v_bk")), strict=True):
+                out = dense(x[0], x[1]) @ dense(x[2], x[3])
                 r, c = np.nonzero(out)
                 yield pd.DataFrame({"i": r + bi * block, "j": c + bj * block, "v": out[r, c]})
 
-    return pairs.select("bi", "bj", "x", "y").mapInPandas(run, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return pairs.select("bi", "bj", "at_bi", "v_bi", "at_bk", "v_bk").mapInPandas(run, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def times_column(a: DataFrame, x: DataFrame) -> DataFrame:

@@ -1,7 +1,11 @@
-"""Order as data: dense positions and positional zips.
+"""Order as data: dense positions, the row before, running folds, and positional zips.
 
-Frames have no order of their own, so every operator that depends on one takes `order_by`: columns
-that together are unique.  Nulls sort last.
+Frames have no order of their own, so every operator that depends on one takes `order_by`: columns or sort
+expressions that together are unique.  Plain column names sort nulls last.
+
+All of them share one plan, at every size and for every order: rows are dealt by ranges of the order
+(bounds from Spark's own sample), sorted within their range and written once; what a range needs from the ranges
+before it is one row a range.
 """
 
 from __future__ import annotations
@@ -12,55 +16,58 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import estimated_bytes
+from tidemark.session import partitions, staged
 
 Key = str | Column
-#: Frames up to this estimate are numbered in one task; larger ones by ranges.
-SINGLE_TASK_BYTES = 256 << 20
-#: Rows of the sample from which range bounds are taken, per range.
-SAMPLE_ROWS = 60
 
 
 def keys(order_by: Sequence[Key]) -> list[Column]:
     return [F.col(k).asc_nulls_last() if isinstance(k, str) else k for k in order_by]
 
 
+def ranged(df: DataFrame, order_by: Sequence[Key], ranges: int | None = None) -> DataFrame:
+    """df with _part (its range) and _at (ascending in the order, consecutive within a range), written once."""
+    by = keys(order_by)
+    ordered = df.repartitionByRange(ranges or partitions(df.sparkSession), *by).sortWithinPartitions(*by)
+    return staged(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+
+
+def _before(per_range: DataFrame, value: Column) -> DataFrame:
+    """_part and _carry: value over the rows of all ranges before; per_range has one row a range, so one task holds it."""
+    return per_range.select("_part", value.over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+
+
 def with_index(df: DataFrame, order_by: Sequence[Key], name: str = "idx", start: int = 0, ranges: int | None = None) -> DataFrame:
-    """df with its dense position in the order, from start.
-
-    A small frame is numbered in one task.  For a larger one (or where `ranges` is given) bounds
-    come from a bounded sample of the keys, rows are numbered within their range, and the sizes of the ranges before are
-    added; the ranges and their sizes are fixed expressions, so nothing has to be kept between jobs.
-    """
-    if ranges is None and estimated_bytes(df) <= SINGLE_TASK_BYTES:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys(order_by))) + (start - 1)).cast("bigint"))
-    if not all(isinstance(k, str) for k in order_by):
-        raise ValueError("ranges need plain ascending columns")
-    n = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.count()
-    if not rows:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    share = min(1.0, n * SAMPLE_ROWS / rows)
-    some = df.select(*order_by).sample(share, 17).orderBy(*keys(order_by)).limit(4 * n * SAMPLE_ROWS).collect()
-    bounds = [some[len(some) * k // n] for k in range(1, n)] if some else []
-    field = {f.name: f.dataType for f in df.schema}
-
-    def beyond(bound) -> Column:
-        """The row sorts at or after bound, nulls last."""
-        out = F.lit(True)
-        for k in reversed(list(order_by)):
-            x = F.lit(bound[k]).cast(field[k])
-            later = F.when(x.isNull(), F.lit(False)).otherwise(F.col(k).isNull() | (F.col(k) > x))
-            out = later | (F.col(k).eqNullSafe(x) & out)
-        return F.coalesce(out, F.lit(False))
-
-    part = reduce(lambda a, b: a + beyond(b).cast("int"), bounds, F.lit(0)) if bounds else F.lit(0)
-    dealt = df.withColumn("_range", part)
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*keys(order_by)))
-    # At most n rows: one for each range.
-    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, (F.col("_own") + F.col("_before") + (start - 1)).cast("bigint")).drop("_range", "_own", "_before")
+    """df with its dense position in the order, from start."""
+    own = ranged(df, order_by, ranges)
+    sizes = own.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = _before(sizes, F.sum("_n")).join(sizes.select("_part", "_first"), "_part")
+    index = F.col("_at") - F.col("_first") + F.coalesce("_carry", F.lit(0)) + start
+    return own.join(F.broadcast(before), "_part").withColumn(name, index.cast("bigint")).select(*df.columns, name)
+
+
+def with_previous(df: DataFrame, values: Sequence[str], order_by: Sequence[Key], name: str, ranges: int | None = None) -> DataFrame:
+    """df with a struct of the values of the row before; null at the first row."""
+    own = ranged(df, order_by, ranges)
+    row = F.struct(*values)
+    last = own.groupBy("_part").agg(F.max_by(row, "_at").alias("_last"), F.min("_at").alias("_first"))
+    carry = last.select("_part", "_first", F.lag("_last").over(Window.orderBy("_part")).alias("_carry"))
+    lag = F.lag(row).over(Window.partitionBy("_part").orderBy("_at"))
+    out = own.withColumn(name, lag).join(F.broadcast(carry), "_part")
+    return out.withColumn(name, F.when(F.col("_at") == F.col("_first"), F.col("_carry")).otherwise(F.col(name))).select(*df.columns, name)
+
+
+FOLDS = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
+def running(df: DataFrame, value: str, order_by: Sequence[Key], name: str, fold: str = "sum", ranges: int | None = None) -> DataFrame:
+    """df with the fold (sum, min or max) of value over all rows up to its own; nulls are passed over."""
+    whole, two = FOLDS[fold]
+    own = ranged(df, order_by, ranges)
+    carry = _before(own.groupBy("_part").agg(whole(value).alias("_v")), whole("_v"))
+    here = whole(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    out = own.withColumn(name, here).join(F.broadcast(carry), "_part")
+    return out.withColumn(name, F.coalesce(two(F.col(name), F.col("_carry")), F.col(name), F.col("_carry"))).select(*df.columns, name)
 
 
 def zip_frames(*frames: tuple[DataFrame, Sequence[Key]], name: str = "idx") -> DataFrame:
@@ -72,3 +79,8 @@ def zip_frames(*frames: tuple[DataFrame, Sequence[Key]], name: str = "idx") -> D
 def concatenate(*frames: DataFrame, name: str = "src") -> DataFrame:
     """All rows of the first frame, then of the second, and so on: name is the frame's number, to sort by first."""
     return reduce(DataFrame.unionByName, (df.withColumn(name, F.lit(n)) for n, df in enumerate(frames)))
+
+
+def physical_index(df: DataFrame, name: str = "place") -> DataFrame:
+    """df with the place that its rows really have, from 0: written by its tasks as they are, read back by task and row."""
+    return with_index(df.withColumn("_row", F.monotonically_increasing_id()), ["_row"], name).drop("_row")

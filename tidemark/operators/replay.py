@@ -1,8 +1,8 @@
 """Replay of operation logs (grp, seq, op, v): stacks, queues, deques and priority queues.
 
 Stacks and queues are matched by windows within a group.  Interleaved priority queues and deques
-depend on all that went before; each group's log is replayed in order by one task, a batch at a
-time, so only the live content is held in memory.
+depend on all that went before; each group's log is replayed in order by one task, which holds that
+group's log.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import with_index
+
 
 def stack_pops(log: DataFrame) -> DataFrame:
     """grp, seq, v of every pop: the last push not yet popped; null where the stack is empty."""
@@ -112,10 +114,10 @@ def deque_pops(log: DataFrame) -> DataFrame:
 def addressable_fifo(log: DataFrame) -> DataFrame:
     """k, place of the keys left after a log of ins (moves to the back) and del (seq, op, k)."""
     last = log.groupBy("k").agg(F.max(F.struct("seq", "op")).alias("x")).where("x.op = 'ins'")
-    return last.select("k", F.row_number().over(Window.orderBy("x.seq")).cast("bigint").alias("place"))
+    return with_index(last.select("k", F.col("x.seq").alias("_seq")), ["_seq"], "place", 1).select("k", "place")
 
 
 def addressable_priority(log: DataFrame) -> DataFrame:
     """k, v, place of the keys left after a log of ins (sets the priority v) and del; smallest first, ties by key."""
     last = log.groupBy("k").agg(F.max(F.struct("seq", "op", "v")).alias("x")).where("x.op = 'ins'")
-    return last.select("k", F.col("x.v").alias("v"), F.row_number().over(Window.orderBy("x.v", "k")).cast("bigint").alias("place"))
+    return with_index(last.select("k", F.col("x.v").alias("v")), ["v", "k"], "place", 1)

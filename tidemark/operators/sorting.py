@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.ordering import Key, keys, with_index
+from tidemark.operators.ordering import Key, keys, with_index, with_previous
 
 
 def sort(df: DataFrame, by: Sequence[Key], stable_by: Sequence[Key] = ()) -> DataFrame:
@@ -53,10 +53,12 @@ def random_shuffle(df: DataFrame, order_by: Sequence[str], seed: int, begin: int
 
 
 def is_sorted(df: DataFrame, value: Column, order_by: Sequence[Key], within: Sequence[str] = ()) -> DataFrame:
-    """One row (for each group): whether value never falls in the order."""
-    w = Window.partitionBy(*within).orderBy(*keys(order_by))
-    own = df.withColumn("_v", value).withColumn("_before", F.lag("_v").over(w))
-    fine = F.coalesce(F.every((F.col("_before") <= F.col("_v")) | F.col("_before").isNull()), F.lit(True)).alias("is_sorted")
+    """One row (for each group): whether value never falls in the order; nulls are passed over."""
+    own = with_previous(df.withColumn("_v", value), ["_v", *within], [*within, *order_by], "_before")
+    same = F.lit(True)
+    for c in within:
+        same = same & F.col(f"_before.{c}").eqNullSafe(F.col(c))
+    fine = F.coalesce(F.every(F.coalesce((F.col("_before._v") <= F.col("_v")) | ~same, F.lit(True))), F.lit(True)).alias("is_sorted")
     return own.groupBy(*within).agg(fine) if within else own.agg(fine)
 
 
@@ -66,6 +68,36 @@ def is_heap(df: DataFrame, value: str) -> DataFrame:
     return child.join(df.select(F.col("idx").alias("p"), F.col(value).alias("v")), "p").agg(F.coalesce(F.every(F.col("v") >= F.col("c")), F.lit(True)).alias("is_heap"))
 
 
+def check_runs(runs: DataFrame, run: str, value: Column, place: str) -> DataFrame:
+    """run, is_sorted and first (its trigger value) of every run; place: the column that tells where a row really stands."""
+    checked = is_sorted(runs, value, [place], [run])
+    return checked.join(runs.groupBy(run).agg(F.min_by(value, place).alias("first")), run)
+
+
+def limit_session(queue: DataFrame, pushes: DataFrame, value: str, seq: str, limit: object) -> tuple[DataFrame, DataFrame]:
+    """Pop everything better (smaller) than limit while rows are pushed: the popped rows with step, and the queue that is left.
+
+    pushes come at their seq, one pop after each (and pops at the end until nothing is below limit).  step: the number of
+    pushes before the row can have been popped, so 0 for rows that were there; a row below limit pushed within the session is popped in it.
+    """
+    every = queue.withColumn("step", F.lit(0).cast("bigint")).unionByName(with_index(pushes, [seq], "step", 1).drop(seq))
+    below = F.coalesce(F.col(value) < F.lit(limit), F.lit(False))
+    return every.where(below), every.where(~below).drop("step")
+
+
+def aggregate_push(pushes: DataFrame, size: int, seq: str) -> DataFrame:
+    """pushes with flush: the number (from 0) of the batch of `size` rows in which each reaches the queue, in the order of seq."""
+    return with_index(pushes, [seq], "_n").withColumn("flush", F.floor(F.col("_n") / size).cast("bigint")).drop("_n")
+
+
+def merge_recursively(runs: Sequence[DataFrame], by: Sequence[Key], factor: int) -> DataFrame:
+    """Rows of all runs in one order, merged `factor` runs at a time; equal rows come in the order of their runs."""
+    numbered = [r.withColumn("run", F.lit(n)) for n, r in enumerate(runs)]
+    while len(numbered) > 1:
+        numbered = [reduce(DataFrame.unionByName, numbered[lo : lo + factor]).sort(*keys(by), "run") for lo in range(0, len(numbered), factor)]
+    return numbered[0]
+
+
 def compare(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """One row: order (-1, 0, 1) of two indexed sequences, first difference first, shorter first."""
     x, y = a.select("idx", F.col(value).alias("x"), F.lit(1).alias("in_a")), b.select("idx", F.col(value).alias("y"), F.lit(1).alias("in_b"))
