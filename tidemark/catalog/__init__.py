@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from tidemark.catalog import analytics, flow, order  # noqa: E402,F401
+from tidemark.catalog import analytics, flow, order, siblings  # noqa: E402,F401

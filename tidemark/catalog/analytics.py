@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
@@ -16,6 +17,7 @@ from tidemark.operators.ordering import with_index
 from tidemark.plans import applications as A
 from tidemark.plans import text_index as X
 from tidemark.session import table as t
+from tidemark.sources.sinks import export_parts, read_in_place
 from tidemark.streaming import incremental as I
 
 # --- J: sequential containers
@@ -225,9 +227,21 @@ def n1(spark, d):
     return A.call_bills(e.select(F.col("user_id").alias("caller"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), (F.col("event_id") % 2 + 1).cast("int").alias("event")))
 
 
-@query("n2_call_log", "SELECT CAST(100 AS BIGINT) AS callers, CAST(2000 AS BIGINT) AS records")
+@query("n2_call_log", "SELECT CAST(range AS BIGINT) AS caller, CAST(20 AS BIGINT) AS records, CAST(10 AS BIGINT) AS calls, true AS apart, range < 100 AS own FROM range(100)")
 def n2(spark, d):
-    return A.call_log(spark, 100, 10, 3).agg(F.countDistinct("caller").alias("callers"), F.count("*").alias("records"))
+    """Each caller has its calls, which start, end and do not overlap; another seed gives another log."""
+    log = A.call_log(spark, 100, 10, 3)
+    w = Window.partitionBy("caller").orderBy("ts", "event")
+    steps = log.withColumn("before", F.lag("ts").over(w)).withColumn("n", F.row_number().over(w))
+    fine = F.every((F.col("event") == 2 - F.col("n") % 2) & (F.col("before").isNull() | (F.col("before") < F.col("ts"))))
+    other = A.call_log(spark, 100, 10, 4).groupBy("caller").agg(F.sum("ts").alias("other"))
+    own = steps.groupBy("caller").agg(F.count("*").alias("records"), F.count_if(F.col("event") == 2).alias("calls"), fine.alias("apart"), F.sum("ts").alias("sum"))
+    return own.join(other, "caller").select("caller", "records", "calls", "apart", (F.col("sum") != F.col("other")).alias("own"))
+
+
+@query("n1_bill_text", "SELECT * FROM (VALUES ('7; 0 EUR 5 ct'), ('12; 3 EUR 0 ct'), ('30; 123 EUR 45 ct')) AS x(line)")
+def n1_text(spark, d):
+    return A.bill_text(spark.createDataFrame([(7, 5), (12, 300), (30, 12345)], "caller bigint, cents bigint"))
 
 
 def texts(spark, d):
@@ -245,20 +259,23 @@ SUFFIX_SQL = "SELECT item_id AS doc, i - 1 AS i, row_number() OVER (PARTITION BY
 
 @query("n3_suffix_array", SUFFIX_SQL)
 def n3(spark, d):
-    return X.suffix_array(saved(texts(spark, d)), saved)
+    return X.suffix_array(saved(texts(spark, d)))
 
 
-@query("n4_suffix_check", "SELECT item_id AS doc, true AS ok FROM benchmark WHERE length(text) > 0")
+@query("n4_suffix_check", "SELECT item_id AS doc, 'right' AS kind, true AS ok FROM benchmark WHERE length(text) > 0 UNION ALL SELECT item_id, 'reversed', length(text) = 1 FROM benchmark WHERE length(text) > 0")
 def n4(spark, d):
     chars = saved(texts(spark, d))
-    return X.check_suffix_array(chars, X.suffix_array(chars, saved))
+    ranks = saved(X.suffix_array(chars))
+    n = ranks.groupBy("doc").agg(F.count("*").alias("n"))
+    wrong = ranks.join(n, "doc").select("doc", "i", (F.col("n") - 1 - F.col("rank")).alias("rank"))
+    right, turned = (X.check_suffix_array(chars, r).withColumn("kind", F.lit(k)) for r, k in ((ranks, "right"), (wrong, "reversed")))
+    return right.unionByName(turned)
 
 
 @query("n5_lcp", f"""WITH s AS ({SUFFIX_SQL}), p AS (SELECT doc, rank, i, lag(i) OVER (PARTITION BY doc ORDER BY rank) AS h FROM s)
 SELECT doc, rank, CASE WHEN h IS NULL THEN CAST(0 AS BIGINT) ELSE CAST(coalesce(list_position(list_transform(range(1, length(text) + 2), lambda k: substr(text, CAST(i + k AS BIGINT), 1) <> substr(text, CAST(h + k AS BIGINT), 1) OR substr(text, CAST(i + k AS BIGINT), 1) = ''), true), 1) - 1 AS BIGINT) END AS lcp FROM p JOIN benchmark ON item_id = doc""")
 def n5(spark, d):
-    chars = saved(texts(spark, d))
-    return X.lcp_array(chars, X.suffix_array(chars, saved))
+    return X.lcp_array(saved(texts(spark, d)))
 
 
 @query("n7_range_minima", """WITH x AS (SELECT o_custkey AS v, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders), q AS (SELECT s_suppkey AS id, s_suppkey * 3 AS lo, s_suppkey * 3 + s_suppkey * 7 AS hi FROM supplier)
@@ -296,9 +313,16 @@ def n12(spark, d):
     return with_index(own, ["m", "id"]).select("v", "idx")
 
 
-@query("n13_sort_and_check", "SELECT true AS is_sorted")
+@query("n13_sort_and_check", "SELECT 'sorted' AS file, true AS is_sorted UNION ALL SELECT 'copied', coalesce(bool_and(b <= o_totalprice), true) FROM (SELECT o_totalprice, lag(o_totalprice) OVER (ORDER BY o_orderkey) AS b FROM orders)")
 def n13(spark, d):
-    return G.is_sorted(saved(G.sort(t(spark, d, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"])), F.col("o_totalprice"), ["o_totalprice", "o_orderkey"])
+    """Files written sorted and as they were, checked by the places of their rows."""
+    own, out = t(spark, d, "orders").select("o_totalprice", "o_orderkey"), None
+    for name, by in (("sorted", ["o_totalprice", "o_orderkey"]), ("copied", ["o_orderkey"])):
+        path = scratch(spark)
+        export_parts(own, path, 4, *by)
+        checked = G.is_sorted(read_in_place(spark, path), F.col("o_totalprice"), ["place"]).withColumn("file", F.lit(name))
+        out = checked if out is None else out.unionByName(checked)
+    return out
 
 
 @query("n15_summary", "SELECT min(o_totalprice) AS least, max(o_totalprice) AS most, count(*) AS n FROM orders")

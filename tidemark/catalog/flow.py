@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query
@@ -13,6 +13,7 @@ from tidemark.operators import dataflow as D
 from tidemark.operators import keyed as K
 from tidemark.operators import sorting as G
 from tidemark.operators.ordering import concatenate, with_index, zip_frames
+from tidemark.session import shared_dir
 from tidemark.session import table as t
 from tidemark.sources import readers as R
 
@@ -22,14 +23,8 @@ LINE_SQL = ", ".join(LINE)
 
 
 def scratch(spark) -> str:
-    """A new folder in the shared one of spark.checkpoint.dir (a temporary one where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/export-{uuid.uuid4().hex}"
+    """A new folder in the shared one of spark.checkpoint.dir."""
+    return f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
 
 
 # --- A: sources
@@ -165,10 +160,12 @@ def b4(spark, d):
     return D.overwrite_prefix(old, new, "v", ["v"], ["v"], 5).select("idx", "v")
 
 
-@query("b5_discard", "SELECT CAST(0 AS BIGINT) AS kept WHERE false")
+@query("b5_discard", "SELECT count(*) AS computed, CAST(0 AS BIGINT) AS kept FROM events")
 def b5(spark, d):
-    D.discard(t(spark, d, "events"))
-    return spark.range(0).select(F.col("id").alias("kept"))
+    """Every row is computed, as an accumulator in the plan tells, and none is kept."""
+    seen = Observation("discarded")
+    D.discard(t(spark, d, "events").observe(seen, F.count(F.lit(1)).alias("n")))
+    return spark.range(1).select(F.lit(seen.get["n"]).cast("bigint").alias("computed"), F.lit(0).cast("bigint").alias("kept"))
 
 
 @query("b6_append", "SELECT r_regionkey AS k FROM region UNION ALL SELECT n_nationkey FROM nation")
@@ -179,13 +176,13 @@ def b6(spark, d):
     return spark.read.parquet(path)
 
 
-@query("b8_export_parts", "SELECT p_partkey, p_name FROM part")
+@query("b8_export_parts", "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part")
 def b8(spark, d):
-    from tidemark.sources.sinks import export_parts
+    from tidemark.sources.sinks import export_parts, read_in_place
 
     path = scratch(spark)
     export_parts(t(spark, d, "part").select("p_partkey", "p_name"), path, 4, "p_partkey")
-    return spark.read.parquet(path)
+    return read_in_place(spark, path)
 
 
 @query("b9_text_lines", "SELECT concat_ws(' ', n_nationkey, n_name, n_regionkey) AS value FROM nation")
@@ -305,9 +302,9 @@ def d3(spark, d):
     return K.upsert(old, new, "k", "v")
 
 
-@query("d4_shadowed_merge", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("d4_shadowed_merge", "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey * 3 FROM supplier)")
 def d4(spark, d):
-    return K.erase(t(spark, d, "customer").select(F.col("c_custkey").alias("k")), t(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+    return K.erase(t(spark, d, "customer").select(F.col("c_custkey").alias("k")), t(spark, d, "supplier").select((F.col("s_suppkey") * 3).alias("k")), "k")
 
 
 @query("d5_inverse_permutation", "SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS rank, c_custkey AS pos FROM customer")
@@ -405,11 +402,12 @@ def e8(spark, d):
     return G.compare(with_index(a, ["v"]), with_index(b, ["v"]), "v")
 
 
-@query("e9_check_runs", "SELECT CAST(0 AS BIGINT) AS broken")
+@query("e9_check_runs", "SELECT CAST(o_orderkey % 4 AS INTEGER) AS run, coalesce(bool_and(b IS NULL OR b <= v), true) AS is_sorted, min_by(v, place) AS first FROM (SELECT *, lag(v) OVER (PARTITION BY o_orderkey % 4 ORDER BY place) AS b FROM (SELECT o_orderkey, o_custkey AS v, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 4 = 3 THEN o_orderkey ELSE o_custkey END, o_orderkey) AS place FROM orders)) GROUP BY 1")
 def e9(spark, d):
-    runs = G.sorted_runs(t(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], 8)
-    checked = G.is_sorted(runs, F.struct("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], ["run"])
-    return checked.agg(F.count_if(~F.col("is_sorted")).alias("broken"))
+    """Three runs in the order of their values and one in that of its keys, which is found out."""
+    own = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("v"), (F.col("o_orderkey") % 4).cast("int").alias("run"))
+    placed = with_index(own.withColumn("by", F.when(F.col("run") == 3, F.col("o_orderkey")).otherwise(F.col("v"))), ["by", "o_orderkey"], "place")
+    return G.check_runs(placed, "run", F.col("v"), "place")
 
 
 @query("e10_dot_product", "SELECT round(sum(c_acctbal * s_acctbal), 2) AS v FROM customer JOIN supplier ON c_custkey = s_suppkey")

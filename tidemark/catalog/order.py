@@ -11,7 +11,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import keyed as K
 from tidemark.operators import replay as P
 from tidemark.operators import sorting as G
-from tidemark.operators.ordering import concatenate, with_index
+from tidemark.operators.ordering import concatenate, physical_index, with_index
 from tidemark.session import table as t
 from tidemark.sources import readers as R
 
@@ -39,9 +39,10 @@ def g5(spark, d):
     return with_index(t(spark, d, "events").select((F.col("event_id") * 7919 % 1000003).alias("k")), ["k"])
 
 
-@query("g6_runs", "SELECT o_orderdate, o_orderkey FROM orders")
+@query("g6_runs", "SELECT o_orderdate, o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders")
 def g6(spark, d):
-    return G.sorted_runs(t(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], 8).drop("run")
+    """Runs of consecutive ranges: one after another they are the sorted whole."""
+    return physical_index(G.sorted_runs(t(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], 8).drop("run"))
 
 
 @query("g7_pushed_runs", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS idx FROM customer")
@@ -85,18 +86,29 @@ def g13(spark, d):
     return with_index(R.counter(spark, 1000, 1).withColumn("m", F.col("v") % 10), ["m", "v"]).select("v", "idx")
 
 
-@query("g15_multiway_merge", "SELECT k, run FROM (SELECT o_custkey AS k, CAST(o_orderkey % 5 AS INTEGER) AS run FROM orders)")
+@query("g15_multiway_merge", "SELECT k, run, row_number() OVER (ORDER BY k, run, o_orderkey) - 1 AS place, o_orderkey FROM (SELECT o_custkey AS k, CAST(o_orderkey % 5 AS INTEGER) AS run, o_orderkey FROM orders)")
 def g15(spark, d):
     o = t(spark, d, "orders")
-    return G.merge_runs([o.where(F.col("o_orderkey") % 5 == n).select(F.col("o_custkey").alias("k")) for n in range(5)], ["k"])
+    own = [o.where(F.col("o_orderkey") % 5 == n).select(F.col("o_custkey").alias("k"), "o_orderkey") for n in range(5)]
+    merged = physical_index(G.merge_runs(own, ["k"]))
+    # Within a run equal keys may come in any order: they are put in that of their keys.
+    w = Window.partitionBy("k", "run")
+    least = merged.withColumn("first", F.min("place").over(w)).withColumn("n", F.count("*").over(w)).withColumn("last", F.max("place").over(w))
+    whole = least.where(F.col("last") - F.col("first") + 1 == F.col("n"))
+    return whole.select("k", "run", "o_orderkey", (F.col("first") + F.row_number().over(w.orderBy("o_orderkey")) - 1).alias("place"))
 
 
 @query("g17_random_shuffle", """WITH x AS (SELECT c_custkey AS v, row_number() OVER (ORDER BY c_custkey) - 1 AS idx FROM customer)
-SELECT CASE WHEN idx >= 10 AND idx < 90 THEN -1 ELSE idx END AS place, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM x GROUP BY 1""")
+SELECT CASE WHEN idx >= 10 AND idx < 90 THEN -1 ELSE idx END AS place, CAST(sum(v) AS BIGINT) AS total, count(*) AS n, count(*) AS places, idx >= 10 AND idx < 90 AS moved, true AS again FROM x GROUP BY 1, 5""")
 def g17(spark, d):
-    own = G.random_shuffle(t(spark, d, "customer").select(F.col("c_custkey").alias("v")), ["v"], 7, 10, 90)
-    place = F.when((F.col("idx") >= 10) & (F.col("idx") < 90), -1).otherwise(F.col("idx")).alias("place")
-    return own.groupBy(place).agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+    """Inside the range most rows move and all places are taken, outside none does; the same seed gives the same order."""
+    own = t(spark, d, "customer").select(F.col("c_custkey").alias("v"))
+    first, second, other = (G.random_shuffle(own, ["v"], seed, 10, 90).select("v", F.col("idx").alias(n)) for n, seed in (("idx", 7), ("same", 7), ("other", 8)))
+    both = with_index(own, ["v"], "was").join(first, "v").join(second, "v").join(other, "v")
+    inside = (F.col("idx") >= 10) & (F.col("idx") < 90)
+    place = F.when(inside, -1).otherwise(F.col("idx")).alias("place")
+    moved = (F.count_if((F.col("idx") != F.col("was")) & (F.col("idx") != F.col("other"))) * 2 > F.count("*")).alias("moved")
+    return both.groupBy(place).agg(F.sum("v").alias("total"), F.count("*").alias("n"), F.countDistinct("idx").alias("places"), moved, F.every(F.col("idx") == F.col("same")).alias("again"))
 
 
 @query("g19_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
@@ -126,11 +138,14 @@ def g24b(spark, d):
     return G.pop_limit(t(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 500.0, 25, ["c_acctbal", "c_custkey"])[1]
 
 
-@query("g25_limit_session", "SELECT c_custkey, c_acctbal < 1000 AS within FROM customer")
+@query("g25_limit_session", """WITH q AS (SELECT c_custkey AS k, c_acctbal AS v, CAST(0 AS BIGINT) AS step FROM customer), p AS (SELECT s_suppkey + 1000000 AS k, s_acctbal AS v, row_number() OVER (ORDER BY s_suppkey) AS step FROM supplier)
+SELECT k, step, v < 1000 AS popped FROM (SELECT * FROM q UNION ALL SELECT * FROM p) WHERE v < 1000 UNION ALL SELECT k, NULL, false FROM (SELECT * FROM q UNION ALL SELECT * FROM p) WHERE v >= 1000""")
 def g25(spark, d):
-    own = t(spark, d, "customer").select("c_custkey", "c_acctbal")
-    below, above = own.where("c_acctbal < 1000"), own.where("c_acctbal >= 1000")
-    return below.select("c_custkey", F.lit(True).alias("within")).unionByName(above.select("c_custkey", F.lit(False).alias("within")))
+    """A session that pops all below a limit while rows are pushed: those pushed below it are popped in it too."""
+    queue = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    pushes = t(spark, d, "supplier").select((F.col("s_suppkey") + 1000000).alias("k"), F.col("s_acctbal").alias("v"), F.col("s_suppkey").alias("seq"))
+    popped, left = G.limit_session(queue, pushes, "v", "seq", 1000)
+    return popped.select("k", "step", F.lit(True).alias("popped")).unionByName(left.select("k", F.lit(None).cast("bigint").alias("step"), F.lit(False).alias("popped")))
 
 
 def traffic(spark, d, ops: list[str]):

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import Key, keys, with_index, with_previous, zip_frames
+from tidemark.operators.ordering import Key, keys, with_index, with_previous
 from tidemark.session import staged
 
 
 def transform(op: Callable[..., Column], *inputs: tuple[DataFrame, Sequence[Key], str], alias: str = "value") -> DataFrame:
     """op over the named columns of any number of frames zipped by position: idx and alias."""
-    frames = [(df.select(F.col(c).alias(f"_in{n}"), *(F.col(k).alias(f"_k{n}_{i}") for i, k in enumerate(order))), [f"_k{n}_{i}" for i in range(len(order))]) for n, (df, order, c) in enumerate(inputs)]
-    return zip_frames(*frames).select("idx", op(*(F.col(f"_in{n}") for n in range(len(inputs)))).alias(alias))
+    numbered = [with_index(df, order).select("idx", F.col(c).alias(f"_in{n}")) for n, (df, order, c) in enumerate(inputs)]
+    return reduce(lambda a, b: a.join(b, "idx"), numbered).select("idx", op(*(F.col(f"_in{n}") for n in range(len(inputs)))).alias(alias))
 
 
 def choose(df: DataFrame, k: int) -> DataFrame:

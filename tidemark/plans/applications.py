@@ -21,7 +21,7 @@ def call_bills(log: DataFrame, drop_last: bool = False) -> DataFrame:
 
 
 def bill_text(bills: DataFrame) -> DataFrame:
-    return bills.select(F.format_string("%d: %d EUR %d ct", "caller", F.expr("cents div 100"), F.col("cents") % 100).alias("line"))
+    return bills.select(F.format_string("%d; %d EUR %d ct", "caller", F.expr("cents div 100"), F.col("cents") % 100).alias("line"))
 
 
 def call_log(spark: SparkSession, callers: int, calls: int, seed: int) -> DataFrame:

@@ -1,13 +1,17 @@
-"""Suffix arrays, their checker, LCP arrays and range minima, per text (doc, i, c)."""
+"""Suffix arrays, their checker, LCP arrays and range minima of texts (doc, i, c), also of a single large one.
 
-from __future__ import annotations
+Nothing is dealt by text: ranks are numbers of sorted ranges over all tasks, and suffixes meet by joins on
+(doc, i), so one text of any length is spread like many small ones.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import ranged, with_index
+from tidemark.session import staged
+
 
 def characters(texts: DataFrame, doc: str, text: str) -> DataFrame:
     """doc, i (from 0), c of every character."""
@@ -15,54 +19,69 @@ def characters(texts: DataFrame, doc: str, text: str) -> DataFrame:
     return own.where("c <> ''").select("doc", F.col("i").cast("bigint").alias("i"), "c")
 
 
-def suffix_array(chars: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
-    """doc, i, rank (from 0): prefix doubling per text.
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """doc, i, rank: equal ranks for equal `by`, ascending in its order (not dense)."""
+    each = ranged(rows.select(*by).distinct(), by).select(*by, F.col("_at").alias("rank"))
+    return staged(rows.join(each, by).select("doc", "i", "rank"), "ranks")
+
+
+def _doubled(chars: DataFrame) -> list[DataFrame]:
+    """The ranks of all runs of 1, 2, 4, ... characters (cut at the text's end), until they differ for all suffixes."""
+    levels = [_ranked(chars, ["doc", "c"])]
+    n = levels[0].count()
+    while levels[-1].select("rank").distinct().count() < n:
+        own, step = levels[-1], 1 << (len(levels) - 1)
+        after = own.select("doc", (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
+        pairs = own.join(after, ["doc", "i"], "left").select("doc", "i", "rank", F.coalesce("next", F.lit(-1)).alias("next"))
+        levels.append(_ranked(pairs.withColumnRenamed("rank", "own"), ["own", "next"]))
+    return levels
 
-    Each round ranks suffixes by their first 2^k characters.  Windows are dealt by text; `keep`
-    cuts the lineage after each round (a checkpoint in the cluster's folder).
-    """
-    w = Window.partitionBy("doc")
-    own = keep(chars.select("doc", "i", (F.dense_rank().over(w.orderBy("c")) - 1).cast("bigint").alias("rank")))
-    step = 1
-    while True:
-        sizes = own.groupBy("doc").agg(F.count("*").alias("n"), F.max("rank").alias("top"))
-        if sizes.where("top + 1 < n").isEmpty():
-            return own
-        after = F.coalesce(F.lead("rank", step).over(w.orderBy("i")), F.lit(-1))
-        own = keep(own.withColumn("next", after).select("doc", "i", (F.dense_rank().over(w.orderBy("rank", "next")) - 1).cast("bigint").alias("rank")))
-        step *= 2
+
+def _dense(ranks: DataFrame) -> DataFrame:
+    """doc, i, rank from 0 within each text, of ranks that are ascending by text and all different."""
+    own = with_index(ranks, ["rank"])
+    first = own.groupBy("doc").agg(F.min("idx").alias("first"))
+    return own.join(first, "doc").select("doc", "i", (F.col("idx") - F.col("first")).alias("rank"))
+
+
+def suffix_array(chars: DataFrame) -> DataFrame:
+    """doc, i, rank (from 0, per text): prefix doubling, one round for each power of two up to the longest repeat."""
+    return _dense(_doubled(chars)[-1])
 
 
 def check_suffix_array(chars: DataFrame, ranks: DataFrame) -> DataFrame:
     """doc, ok: ranks are a permutation, and neighbours are in order by character and the rank of the rest."""
-    w = Window.partitionBy("doc")
-    own = ranks.join(chars, ["doc", "i"]).withColumn("rest", F.coalesce(F.lead("rank").over(w.orderBy("i")), F.lit(-1)))
-    own = own.withColumn("pc", F.lag("c").over(w.orderBy("rank"))).withColumn("pr", F.lag("rest").over(w.orderBy("rank")))
+    after = ranks.select("doc", (F.col("i") - 1).alias("i"), F.col("rank").alias("rest"))
+    own = ranks.join(chars, ["doc", "i"]).join(after, ["doc", "i"], "left").withColumn("rest", F.coalesce("rest", F.lit(-1)))
+    before = own.select("doc", (F.col("rank") + 1).alias("rank"), F.col("c").alias("pc"), F.col("rest").alias("pr"))
+    both = own.join(before, ["doc", "rank"], "left")
     fine = F.col("pc").isNull() | (F.col("pc") < F.col("c")) | ((F.col("pc") == F.col("c")) & (F.col("pr") < F.col("rest")))
-    whole = (F.countDistinct("rank") == F.count("*")) & (F.min("rank") == 0) & (F.max("rank") == F.count("*") - 1)
-    return own.groupBy("doc").agg((F.every(fine) & whole).alias("ok"))
+    per_rank = both.groupBy("doc", "rank").agg(F.every(fine).alias("fine"), F.count("*").alias("n"))
+    whole = (F.max("n") == 1) & (F.min("rank") == 0) & (F.max("rank") == F.count("*") - 1)
+    return per_rank.groupBy("doc").agg((F.every("fine") & whole).alias("ok"))
 
 
-def lcp_array(chars: DataFrame, ranks: DataFrame) -> DataFrame:
-    """doc, rank, lcp: common prefix of each suffix with the one before (0 for the first), by one pass over each text."""
+def suffix_and_lcp(chars: DataFrame) -> DataFrame:
+    """doc, rank, i, lcp: suffixes in order, with the common prefix of each and the one before (0 for the first).
+
+    Neighbours go through the levels of the doubling from the longest runs down: where theirs are equal, they
+    move on by that many characters.
+    """
+    levels = _doubled(chars)
+    own = staged(_dense(levels[-1]), "suffixes")
+    before = own.select("doc", (F.col("rank") + 1).alias("rank"), F.col("i").alias("h"))
+    pairs = own.join(before, ["doc", "rank"], "left").select("doc", "rank", "i", "h", F.lit(0).cast("bigint").alias("lcp"))
+    for k in reversed(range(len(levels))):
+        a, b = (levels[k].select("doc", F.col("i").alias(f"at_{x}"), F.col("rank").alias(f"run_{x}")) for x in "ab")
+        at = pairs.withColumn("at_a", F.col("i") + F.col("lcp")).withColumn("at_b", F.col("h") + F.col("lcp"))
+        met = at.join(a, ["doc", "at_a"], "left").join(b, ["doc", "at_b"], "left")
+        pairs = staged(met.select("doc", "rank", "i", "h", F.when(F.col("run_a") == F.col("run_b"), F.col("lcp") + (1 << k)).otherwise(F.col("lcp")).alias("lcp")), "lcp")
+    return pairs.select("doc", "rank", "i", "lcp")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        text, rank = "".join(pdf["c"]), pdf["rank"].tolist()
-        at = sorted(range(len(rank)), key=rank.__getitem__)
-        out, h = [0] * len(rank), 0
-        for i, r in enumerate(rank):
-            if r == 0:
-                h = 0
-                continue
-            j = at[r - 1]
-            while i + h < len(text) and j + h < len(text) and text[i + h] == text[j + h]:
-                h += 1
-            out[r] = h
-            h = max(0, h - 1)
-        return pd.DataFrame({"doc": pdf["doc"].iloc[0], "rank": range(len(rank)), "lcp": out})
 
-    return ranks.join(chars, ["doc", "i"]).groupBy("doc").applyInPandas(run, f"doc {chars.schema['doc'].dataType.simpleString()}, rank bigint, lcp bigint")
+def lcp_array(chars: DataFrame) -> DataFrame:
+    """doc, rank, lcp: common prefix of each suffix with the one before (0 for the first)."""
+    return suffix_and_lcp(chars).select("doc", "rank", "lcp")
 
 
 def sparse_table(values: DataFrame, top: int) -> DataFrame:
@@ -71,7 +90,7 @@ def sparse_table(values: DataFrame, top: int) -> DataFrame:
     out = level
     for k in range(top):
         other = level.select((F.col("i") - (1 << k)).alias("i"), F.col("v").alias("o"))
-        level = level.join(other, "i").select(F.lit(k + 1).alias("k"), "i", F.least("v", "o").alias("v"))
+        level = staged(level.join(other, "i").select(F.lit(k + 1).alias("k"), "i", F.least("v", "o").alias("v")), "level")
         out = out.unionByName(level)
     return out
 
