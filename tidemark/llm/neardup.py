@@ -42,10 +42,12 @@ _WEIGHTS = _random.integers(0, 1 << 63, 16, dtype=np.uint64) << np.uint64(1) | n
 
 
 class _Words(dict):
+    limit = CACHE_ENTRIES
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.limit:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
