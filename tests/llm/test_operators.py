@@ -405,6 +405,18 @@ def test_op10_registered(spark, odd):
         assert got[q] == pytest.approx(sorted((x for x in scores if x), reverse=True)[:10], abs=2e-6), q
 
 
+def test_pipeline_null_and_repeated_ids(spark, odd):
+    import corpus_pipeline as C
+
+    long = " ".join(f"word{n}" for n in range(40))
+    rows = [(1, long), (1, long), (2, long + " tail"), (None, long), (None, "other"), (3, None), (3, None), (1, "other text of its own " * 3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string")
+    out = C.drop_near_duplicates(spark, docs, odd[0])
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in out.collect()))
+    assert got == sorted([(1, long), (1, "other text of its own " * 3), (0, long), (0, "other"), (3, "")])
+
+
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline as C
 
