@@ -32,16 +32,16 @@ def ranged(df: DataFrame, order_by: Sequence[Key], ranges: int | None = None) ->
     return staged(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranges")
 
 
-def _before(per_range: DataFrame, value: Column) -> DataFrame:
-    """_part and _carry: value over the rows of all ranges before; per_range has one row a range, so one task holds it."""
-    return per_range.select("_part", value.over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+def _before(per_range: DataFrame, value: Column, *others: str) -> DataFrame:
+    """_part, others and _carry: value over the rows of all ranges before; per_range has one row a range, so one task holds it."""
+    return per_range.select("_part", *others, value.over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
 
 
 def with_index(df: DataFrame, order_by: Sequence[Key], name: str = "idx", start: int = 0, ranges: int | None = None) -> DataFrame:
     """df with its dense position in the order, from start."""
     own = ranged(df, order_by, ranges)
     sizes = own.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = _before(sizes, F.sum("_n")).join(sizes.select("_part", "_first"), "_part")
+    before = _before(sizes, F.sum("_n"), "_first")
     index = F.col("_at") - F.col("_first") + F.coalesce("_carry", F.lit(0)) + start
     return own.join(F.broadcast(before), "_part").withColumn(name, index.cast("bigint")).select(*df.columns, name)
 
