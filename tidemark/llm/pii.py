@@ -198,7 +198,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "pii")
     plain = {c: f"column_{n}" for n, c in enumerate(docs.drop("spans", "base").columns)}
     rows = docs.select(*(F.col(f"`{c}`").alias(v) for c, v in plain.items())).withColumn("text", F.col(plain["text"]))
-    found = scratch.save("found", entities(rows).drop("text").withColumn("_row", F.monotonically_increasing_id()))
+    found = scratch.save("found", entities(rows).drop("text", "_text").withColumn("_row", F.monotonically_increasing_id()))
+    found = found.withColumn("_text", F.coalesce(F.col(plain["text"]), F.lit("")))
     terms = scratch.save("terms", disclosing(found))
     extra = scratch.save("extra", _term_spans(found, terms))
     out = found.join(extra, "_row", "left").withColumn("spans", F.sort_array(F.concat("_base", F.coalesce("_extra", F.array().cast(EMPTY)))))
