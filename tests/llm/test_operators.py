@@ -394,6 +394,37 @@ def test_op9_hub(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 for i, _ in rows}
 
 
+def test_op9_components(spark, tmp_path):
+    """Both ways of joining links against a plain one, and that the small one leaves no trail of stages for the driver to hold."""
+    from tidemark.llm.common import Scratch
+
+    rng = random.Random(3)
+    chain = [(k, k + 1) for k in range(-40, 60)]
+    pairs = chain + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(1 << 62, 7), (500, 500), (-(1 << 62), 600)]
+    rng.shuffle(pairs)
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want, seen = {}, set()
+    for i in sorted(near):
+        todo = [i]
+        while todo:
+            if (j := todo.pop()) not in seen:
+                seen.add(j)
+                todo += near[j]
+                if j != i:
+                    want[j] = i
+    scratch = Scratch(spark, "components")
+    links = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(3)
+    for n, few in enumerate((len(pairs), 0)):
+        before = spark._jsc.sc().dagScheduler().nextStageId()
+        got = neardup.components(links, scratch, f"t{n}", few)
+        assert {r["node"]: r["root"] for r in got.collect()} == want
+        assert n or spark._jsc.sc().dagScheduler().nextStageId() - before < 12
+    assert neardup.components(links.limit(0), scratch, "none").collect() == []
+
+
 def test_op10(spark, odd):
     path, rows = odd
     docs = spark.read.parquet(f"{path}/documents.parquet")

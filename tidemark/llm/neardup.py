@@ -34,6 +34,8 @@ CROWD_BLOCK, CROWD_COLUMNS = 512, 4096
 #: Trees whose crowds are compared in one round: what early ones join, later ones need not compare.
 ROUNDS = ((0, 1), (1, 4), (4, TREES))
 CACHE_ENTRIES = 400_000
+#: Links that one task joins.
+FEW_LINKS = 1_000_000
 PREFIX = 1 + 4 * LEAST_DEPTH
 
 _random = np.random.Generator(np.random.PCG64(20240229))
@@ -191,7 +193,7 @@ def crowds(classes: DataFrame) -> DataFrame:
     return rows.join(large.hint("merge"), "bucket").select("tree", "bucket", "rep")
 
 
-def _meetings(members: DataFrame) -> DataFrame:
+def _meetings(members: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
     """meeting (id of a pair of blocks), side, rep and root of crowd members (bucket, rep, root).
 
     A component of CROWD_BLOCK rows or more in a bucket has blocks of its own; the others share
@@ -199,8 +201,9 @@ def _meetings(members: DataFrame) -> DataFrame:
     component do not.
     """
     own = members.groupBy("bucket", "root").agg(F.count("*").alias("n")).withColumn("shared", F.col("n") < CROWD_BLOCK)
-    own = own.withColumn("part", F.when(F.col("shared"), 0).otherwise(F.col("root")))
+    own = scratch.save(f"{tag}-own", own.withColumn("part", F.when(F.col("shared"), 0).otherwise(F.col("root"))))
     sizes = own.groupBy("bucket", "shared", "part").agg(F.ceil(F.sum("n") / CROWD_BLOCK).cast("int").alias("blocks"), F.count("*").alias("roots"))
+    sizes = scratch.save(f"{tag}-sizes", sizes)
     each = sizes.select("bucket", "shared", "part", "roots", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
     x, y = (each.select("bucket", F.struct("shared", "part", "k").alias(s), F.col("roots").alias(f"roots_{s}")) for s in "xy")
     one = (F.col("x.shared") == F.col("y.shared")) & (F.col("x.part") == F.col("y.part"))
@@ -273,12 +276,32 @@ def _crowd_links(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """node, root for every node of links (a, b): root is the smallest node reachable.
-
-    Large-star and small-star contraction: each round points every node at the smallest neighbour;
-    the number of rounds is logarithmic.  Only counts reach the driver.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root of all links of a task: the larger root is hung below the smaller until none is left to hang."""
+    ends = [np.empty((2, 0), np.int64), *(np.stack([c.to_numpy() for c in batch.columns]) for batch in batches)]
+    nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+        u, v = root[u], root[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.record_batch([pa.array(nodes[below]), pa.array(nodes[root[below]])], ["node", "root"])
+
+
+def components(links: DataFrame, scratch: Scratch, tag: str, few: int = FEW_LINKS) -> DataFrame:
+    """node, root for every node of links (a, b) that is not its own root: root is the smallest node reachable.
+
+    Up to `few` links (16 bytes each) are joined in one task, which a shuffle for every step would only delay.
+    More go through large-star and small-star contraction: each round points every node at the smallest
+    neighbour; the number of rounds is logarithmic.  Only counts reach the driver.
     """
+    if links.count() <= few:
+        return scratch.save(f"{tag}-joined", links.select("a", "b").coalesce(1).mapInArrow(_joined, "node bigint, root bigint"))
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     seen, k = None, 0
     edges = scratch.save(f"{tag}-0", edges)
@@ -326,7 +349,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     needed = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = scratch.save("sets", _full_sets(_texts(docs, needed), width))
 
-    left, links = close, None
+    left, roots = close, None
     for step in ("best", "next", "rest"):
         if step != "rest":
             ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
@@ -336,8 +359,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             tried = left
         tried = scratch.save(f"tried-{step}", tried.select("a", "b"))
         found = _confirmed(tried, sets, percent)
-        links = scratch.save(f"links-{step}", found if links is None else links.unionByName(found))
-        roots = components(links, scratch, step)
+        found = scratch.save(f"links-{step}", found)
+        roots = components(found if roots is None else found.union(roots), scratch, step)
         if step == "rest":
             break
         a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
@@ -357,10 +380,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if sets is None:
             # Later rounds may need other rows of the crowds.
             sets = scratch.save("crowd-sets", _full_sets(_texts(docs, crowded.select(F.col("rep").alias("doc_id")).distinct()), width))
-        found = scratch.save(f"crowd-links-{lo}", _crowd_links(_meetings(members), sets, percent).distinct())
+        found = scratch.save(f"crowd-links-{lo}", _crowd_links(_meetings(members, scratch, f"crowd-{lo}"), sets, percent).distinct())
         if not found.isEmpty():
-            links = scratch.save(f"links-{lo}", links.unionByName(found))
-            roots = components(links, scratch, f"crowd-{lo}")
+            roots = components(found.union(roots), scratch, f"crowd-{lo}")
     scratch.drop("crowded", "crowd-sets")
     by_key = scratch.save("by_key", reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root")))
     out = keys.join(by_key, "key", "left")
