@@ -32,7 +32,7 @@ LEAST_AGREEMENT = 0.6
 #: Rows of a crowd in a block, about; columns of a block's incidence matrix at a time.
 CROWD_BLOCK, CROWD_COLUMNS = 512, 4096
 #: Trees whose crowds are compared in one round: what early ones join, later ones need not compare.
-ROUNDS = ((0, 1), (1, 4), (4, TREES))
+ROUNDS = ((0, 1), (1, TREES))
 CACHE_ENTRIES = 400_000
 #: Links that one task joins.
 FEW_LINKS = 1_000_000
