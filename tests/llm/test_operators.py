@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidemark.llm import extraction, linededup, neardup, packing, pii, search
@@ -465,6 +466,25 @@ def test_op10_registered(spark, odd):
         assert got[q] == pytest.approx(sorted((x for x in scores if x), reverse=True)[:10], abs=2e-6), q
 
 
+def test_op10_left_out(spark):
+    """The query's own document holds the largest sum of its block, but is no answer that another must beat; two languages, of which one is skipped."""
+    rnd = random.Random(3)
+    words = [[f"{c}{n}" for n in range(400)] for c in "ab"]
+    rows = [(i, " ".join(rnd.choices(words[i % 2], k=rnd.randint(20, 60)))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = {r["query_id"]: (r["doc_id"], r["score"]) for r in search.search(docs, docs.where("doc_id % 20 < 2"), 1).collect()}
+    bags = {i: Counter(t.split()) for i, t in rows}
+    df = Counter(w for b in bags.values() for w in b)
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    assert set(got) == {i for i in bags if i % 20 < 2}
+    for q in got:
+        scores = {i: sum(math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w in bags[q] if w in b) for i, b in bags.items() if i != q}
+        assert got[q][1] == pytest.approx(max(scores.values()), abs=2e-6) and scores[got[q][0]] == pytest.approx(got[q][1], abs=2e-6), q
+    kinds = search.Kinds([t for _, t in rows])
+    of = [{kinds(np.unique(search.bag(t))) for i, t in rows if i % 2 == n} for n in (0, 1)]
+    assert not of[0] & of[1]
+
+
 def test_pipeline_null_and_repeated_ids(spark, odd):
     import corpus_pipeline as C
 
