@@ -485,6 +485,28 @@ def test_op10_left_out(spark):
     assert not of[0] & of[1]
 
 
+def test_op10_rows_of_shards(spark, monkeypatch):
+    """Many shards of longest documents do not return k rows each for a query, and give the same answers as one shard, copies included."""
+    rnd = random.Random(7)
+    words = [f"w{n}" for n in range(300)]
+    texts = [" ".join(rnd.choices(words, k=60)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, texts[i % 360]) for i in range(400)], "doc_id bigint, text string")
+    whole = [tuple(r) for r in search.search(docs.coalesce(1), docs, 4).orderBy("query_id", "rank").collect()]
+    made, against = [], search._against
+
+    def counted(*args):
+        found = against(*args)
+        made.append((found[0] if isinstance(found, tuple) else found).count())
+        return found
+
+    monkeypatch.setattr(search, "_against", counted)
+    monkeypatch.setattr(search, "HEAD", 1.0)
+    monkeypatch.setattr(search, "HEAD_BYTES", sum(map(len, texts)) // 15)
+    parts = [tuple(r) for r in search.search(docs, docs, 4).orderBy("query_id", "rank").collect()]
+    assert parts == whole and len(whole) == 1600
+    assert sum(made) < 40 * 400, made
+
+
 def test_pipeline_null_and_repeated_ids(spark, odd):
     import corpus_pipeline as C
 
