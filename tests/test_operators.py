@@ -124,3 +124,11 @@ def test_suffixes(spark, text):
     order = sorted(range(len(text)), key=lambda i: text[i:])
     common = [0] + [next((k for k in range(len(text)) if text[a + k : a + k + 1] != text[b + k : b + k + 1] or not text[a + k : a + k + 1]), len(text)) for a, b in zip(order, order[1:], strict=False)]
     assert [(r["i"], r["lcp"]) for r in sorted(got, key=lambda r: r["rank"])] == list(zip(order, common, strict=True))
+
+
+@pytest.mark.parametrize("largest", [(1 << 32) - 1, (1 << 64) - 1])
+def test_bucket_edges(spark, largest):
+    """The last hashes below the edge of a bucket are not of the next one."""
+    hashes = [h for b in (1, 2, 63, 64) for h in ((b * (largest + 1) // 64) + d for d in (-1, 0, 33, -33)) if h <= largest]
+    rows = spark.createDataFrame([(str(h),) for h in hashes], "h string").select("h", K.bucket(F.col("h").cast("decimal(20,0)"), 64, largest).alias("b")).collect()
+    assert {int(r["h"]): r["b"] for r in rows} == {h: 64 * h // (largest + 1) for h in hashes}

@@ -107,5 +107,6 @@ def count_erased(store: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def bucket(hash_column: Column, buckets: int, largest: int) -> Column:
-    """floor(buckets * hash / (largest + 1))."""
-    return F.floor(hash_column.cast("decimal(38,0)") * buckets / F.lit(largest + 1).cast("decimal(38,0)")).cast("bigint")
+    """floor(buckets * hash / (largest + 1)), of whole numbers only, as a quotient with decimals is rounded up just below the next bucket."""
+    product, whole = hash_column.cast("decimal(38,0)") * buckets, F.lit(str(largest + 1)).cast("decimal(38,0)")
+    return ((product - F.pmod(product, whole)) / whole).cast("bigint")
