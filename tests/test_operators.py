@@ -132,3 +132,28 @@ def test_bucket_edges(spark, largest):
     hashes = [h for b in (1, 2, 63, 64) for h in ((b * (largest + 1) // 64) + d for d in (-1, 0, 33, -33)) if h <= largest]
     rows = spark.createDataFrame([(str(h),) for h in hashes], "h string").select("h", K.bucket(F.col("h").cast("decimal(20,0)"), 64, largest).alias("b")).collect()
     assert {int(r["h"]): r["b"] for r in rows} == {h: 64 * h // (largest + 1) for h in hashes}
+
+
+@pytest.mark.parametrize("n", [1, 256, 700, 70_000])
+def test_range_minima(spark, n, monkeypatch):
+    """Ranges at the edges of blocks, past the end, before the start, empty ones and null values; what is written keeps to the size of the values."""
+    written, staged = [], X.staged
+
+    def counted(df, what="stage"):
+        out = staged(df, what)
+        written.append(out.agg(F.sum(F.size("vs"))).first()[0] if "vs" in out.columns else out.count())
+        return out
+
+    monkeypatch.setattr(X, "staged", counted)
+    rnd = random.Random(n)
+    values = [None if rnd.random() < 0.1 else rnd.randint(0, 10**9) for _ in range(n)]
+    edges = [x for x in (0, 1, 255, 256, 257, 511, 512, 65_535, 65_536, n - 1, n, n + 3) if x <= n + 3]
+    asked = [(lo, hi) for lo in edges for hi in edges] + [(-5, 3), (-5, -1), (n, n + 10**6), (None, 3), (3, None)] + [(rnd.randrange(n), rnd.randrange(n)) for _ in range(40)]
+    got = X.range_minima(spark.createDataFrame(list(enumerate(values)), "i bigint, v int").repartition(3), spark.createDataFrame([(k, *x) for k, x in enumerate(asked)], "id int, lo bigint, hi bigint")).collect()
+    want = {}
+    for k, (lo, hi) in enumerate(asked):
+        own = [] if lo is None or hi is None or hi < 0 else values[max(lo, 0) : hi + 1]
+        if own:
+            want[k] = min((v for v in own if v is not None), default=None)
+    assert {r["id"]: r["v"] for r in got} == want and len(got) == len(want)
+    assert sum(written) <= n + n // 128 + 4

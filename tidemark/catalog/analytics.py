@@ -283,7 +283,7 @@ SELECT id, min(v) AS v FROM q JOIN x ON i BETWEEN lo AND hi GROUP BY 1""")
 def n7(spark, d):
     values = with_index(t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("v")), ["o_orderkey"], "i").select("i", "v")
     asked = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 3).alias("lo"), (F.col("s_suppkey") * 10).alias("hi"))
-    return X.range_minima(saved(values), asked)
+    return X.range_minima(values, asked)
 
 
 @query("n8_random_graph", "SELECT DISTINCT l_partkey % 100 AS src, l_suppkey % 100 AS dst FROM lineitem WHERE l_partkey % 100 <> l_suppkey % 100")

@@ -6,6 +6,8 @@ Nothing is dealt by text: ranks are numbers of sorted ranges over all tasks, and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,22 +86,35 @@ def lcp_array(chars: DataFrame) -> DataFrame:
     return suffix_and_lcp(chars).select("doc", "rank", "lcp")
 
 
-def sparse_table(values: DataFrame, top: int) -> DataFrame:
-    """k, i, v: the least v of positions i to i + 2^k - 1, for k up to top (a frame: i, v, dense from 0)."""
-    level = values.select(F.lit(0).alias("k"), "i", "v")
-    out = level
-    for k in range(top):
-        other = level.select((F.col("i") - (1 << k)).alias("i"), F.col("v").alias("o"))
-        level = staged(level.join(other, "i").select(F.lit(k + 1).alias("k"), "i", F.least("v", "o").alias("v")), "level")
-        out = out.unionByName(level)
-    return out
+#: Values in a block of range minima.
+MINIMA_BLOCK = 256
+
+
+def _blocks(values: DataFrame) -> DataFrame:
+    """block, vs: the values (a frame: i, v, dense from 0) of positions block * MINIMA_BLOCK and after, in order."""
+    own = values.groupBy(F.expr(f"i div {MINIMA_BLOCK}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("x"))
+    return staged(own.select("block", F.col("x.v").alias("vs")), "blocks")
 
 
 def range_minima(values: DataFrame, asked: DataFrame) -> DataFrame:
-    """id, v for asked (id, lo, hi, both inclusive): the least v in the range, from two cells of the sparse table."""
-    asked = asked.withColumn("k", F.length(F.bin(F.col("hi") - F.col("lo") + 1)) - 1)
-    top = asked.agg(F.max("k")).first()[0] or 0
-    cells = sparse_table(values, top)
-    a = cells.select("k", F.col("i").alias("lo"), F.col("v").alias("a"))
-    b = cells.select("k", F.col("i").alias("tail"), F.col("v").alias("b"))
-    return asked.withColumn("tail", F.expr("hi - shiftleft(1L, k) + 1")).join(a, ["k", "lo"]).join(b, ["k", "tail"]).select("id", F.least("a", "b").alias("v"))
+    """id, v for asked (id, lo, hi, both inclusive): the least v at these positions (values: i, v, dense from 0); no row if there is none.
+
+    A range is the end of one block, whole blocks and the beginning of another one, or a part of one.  Whole blocks are a
+    range of their minima, which are values of the next level, so levels shrink MINIMA_BLOCK-fold and a range meets two blocks of each.
+    """
+    now = asked.where("lo <= hi and hi >= 0").select("id", F.greatest(F.col("lo").cast("bigint"), F.lit(0)).alias("lo"), F.col("hi").cast("bigint").alias("hi"))
+    span = now.agg(F.max(F.col("hi") - F.col("lo"))).first()[0]
+    level, found = values, []
+    while True:
+        blocks = _blocks(level)
+        ends = now.withColumn("a", F.expr(f"lo div {MINIMA_BLOCK}")).withColumn("b", F.expr(f"hi div {MINIMA_BLOCK}"))
+        head = F.struct(F.col("a").alias("block"), (F.col("lo") % MINIMA_BLOCK).alias("first"), F.when(F.col("a") == F.col("b"), F.col("hi") % MINIMA_BLOCK).otherwise(MINIMA_BLOCK - 1).alias("last"))
+        tail = F.when(F.col("a") < F.col("b"), F.struct(F.col("b").alias("block"), F.lit(0).cast("bigint").alias("first"), (F.col("hi") % MINIMA_BLOCK).alias("last")))
+        pieces = ends.select("id", F.explode(F.array(head, tail)).alias("p")).where("p is not null").select("id", "p.block", F.col("p.first").cast("int").alias("first"), F.col("p.last").cast("int").alias("last"))
+        met = pieces.join(blocks, "block").where("first < size(vs)")
+        found.append(met.select("id", F.array_min(F.slice("vs", F.col("first") + 1, F.col("last") - F.col("first") + 1)).alias("v")))
+        span = -1 if span is None else span // MINIMA_BLOCK - 1
+        if span < 0:
+            return reduce(DataFrame.unionByName, found).groupBy("id").agg(F.min("v").alias("v"))
+        level = blocks.select(F.col("block").alias("i"), F.array_min("vs").alias("v"))
+        now = ends.select("id", (F.col("a") + 1).alias("lo"), (F.col("b") - 1).alias("hi")).where("lo <= hi")
