@@ -507,6 +507,25 @@ def test_op10_rows_of_shards(spark, monkeypatch):
     assert sum(made) < 40 * 400, made
 
 
+def test_op10_blocks_in_one_job(spark, monkeypatch):
+    """Blocks of queries share a job for each turn, and the answers are those of one block."""
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices([f"w{n}" for n in range(200)], k=30)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    whole = [tuple(r) for r in search.search(docs, docs, 4).orderBy("query_id", "rank").collect()]
+    saved, save = [], search.Scratch.save
+
+    def counted(self, name, df):
+        saved.append(name)
+        return save(self, name, df)
+
+    monkeypatch.setattr(search.Scratch, "save", counted)
+    monkeypatch.setattr(search, "QUERY_ROWS", 600)
+    assert [tuple(r) for r in search.search(docs, docs, 4).orderBy("query_id", "rank").collect()] == whole and len(whole) == 600
+    # About seven blocks, three turns: one of the longest documents, two of the rest.
+    assert sum(x.startswith("best") for x in saved) == 3, saved
+
+
 def test_pipeline_null_and_repeated_ids(spark, odd):
     import corpus_pipeline as C
 
